@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, substrings
+from . import decontaminate, mixing, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_substrings": substrings.op2_substrings,
         "op6_simhash": simhash.op6_simhash,
         "op10_mixing": mixing.op10_mixing,
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }
