@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, substrings
+from . import decontaminate, mixing, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_substrings": substrings.op2_substrings,
+        "op3_secrets": secrets.op3_secrets,
         "op6_simhash": simhash.op6_simhash,
         "op10_mixing": mixing.op10_mixing,
     }
