@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, secrets, simhash, substrings
+from . import decontaminate, language, mixing, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_substrings": substrings.op2_substrings,
         "op3_secrets": secrets.op3_secrets,
+        "op4_language": language.op4_language,
         "op6_simhash": simhash.op6_simhash,
         "op10_mixing": mixing.op10_mixing,
     }

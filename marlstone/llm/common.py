@@ -49,17 +49,17 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded_sample(labelled: DataFrame, key: Column, strata: str, per_stratum: int, max_strata: int = 64) -> DataFrame:
-    """At most about ``per_stratum`` rows of each value of ``strata``, picked by a hash of ``key``.
+def bounded_sample(labelled: DataFrame, key: Column, strata: str, total: int, max_strata: int = 64) -> DataFrame:
+    """About ``total`` rows at most, as many of each value of ``strata``, picked by a hash of ``key``.
 
     Counts are of all rows; the ``max_strata`` most frequent values take part. The pick is by hash threshold, so
     it is the same in every run and needs no sort; a stratum with fewer rows is taken whole.
     """
     counts = labelled.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(max_strata).collect()
-    space = 1 << 30
+    space, each = 1 << 30, total / max(1, len(counts))
     pick = F.lit(False)
     draw = F.pmod(F.xxhash64(key.cast("string"), F.lit("draw")), F.lit(space))
     for r in counts:
-        below = min(space, int(space * per_stratum / r["count"]))
+        below = min(space, int(space * each / r["count"]))
         pick = pick | ((F.col(strata) == F.lit(r[strata])) & (draw < below))
     return labelled.filter(pick)
