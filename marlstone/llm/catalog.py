@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, secrets, simhash, substrings
+from . import decontaminate, language, mixing, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": secrets.op3_secrets,
         "op4_language": language.op4_language,
         "op6_simhash": simhash.op6_simhash,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_mixing": mixing.op10_mixing,
     }
 
