@@ -10,7 +10,8 @@ and those that occur twice are repeated. An anchor's 64-bit collision only adds
 Physical plan. Documents are dealt once to shards of bounded size by a row number; every step works a shard at a time
 and the three uses of the dealt documents share that exchange. What a shard asks about goes out as one packed row for
 each bucket of hashes, each distinct hash once a shard, so a passage that a third of all documents share costs a
-bucket one entry a shard. Answers return packed, a row for each bucket and shard. Nothing is collected, broadcast or
+bucket one entry a shard; a shard's own repeats travel by shard. A shard sends at most as many rows as there are
+buckets (one for ``bucket_bytes`` of text) or sampled places, whichever is less. Answers return packed, a row for each bucket and shard. Nothing is collected, broadcast or
 paired.
 
 Cases: null and empty texts have no words, remove none and hash the empty string; texts shorter than a window keep
@@ -33,7 +34,7 @@ from .textscan import STEP, U, Words, gram_hash, hash_words, mix, pieces, texts,
 #: Perfect difference covers, period to residues.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
-ASK = "bucket bigint, shard bigint, hashes binary, tails binary, places binary, known binary"
+ASK = "bucket bigint, shard bigint, hashes binary, tails binary, places binary, many binary, known binary"
 ANSWER = "shard bigint, places binary"
 
 
@@ -87,45 +88,40 @@ def _ask(shard: int, places: np.ndarray, h: np.ndarray, buckets: int, tail: np.n
     h, places, bucket, new, many = h[by], places[by], bucket[by], new[by], many[by]
     tail = None if tail is None else tail[by]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    cols: dict[str, list] = {k: [] for k in ("bucket", "shard", "hashes", "tails", "places", "known")}
+    cols: dict[str, list] = {k: [] for k in ("bucket", "shard", "hashes", "tails", "places", "many", "known")}
+    add = lambda *x: [v.append(y) for v, y in zip(cols.values(), x, strict=True)]
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
         one = new[a:b]
-        cols["bucket"].append(int(bucket[a]))
-        cols["shard"].append(shard)
-        cols["hashes"].append(h[a:b][one].tobytes())
-        cols["tails"].append(b"" if tail is None else tail[a:b][one].tobytes())
-        cols["places"].append(places[a:b][one].tobytes())
-        cols["known"].append(places[a:b][many[a:b]].tobytes())
-    return pa.table(cols, schema=pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), *((k, pa.binary()) for k in ("hashes", "tails", "places", "known"))]))
+        add(int(bucket[a]), shard, h[a:b][one].tobytes(), b"" if tail is None else tail[a:b][one].tobytes(), places[a:b][one].tobytes(), many[a:b][one].tobytes(), b"")
+    if many.any():  # by shard, not by hash: a very common passage would fill one bucket
+        add(int(mix(np.array([shard], U))[0] % U(buckets)), shard, b"", b"", b"", b"", np.sort(places[many]).tobytes())
+    return pa.table(cols, schema=pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), *((k, pa.binary()) for k in ("hashes", "tails", "places", "many", "known"))]))
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: the places, by shard, of hashes that two shards sent or one knows to be repeated."""
+    """Of one bucket: the places, by shard, of hashes that two shards sent or one knows to be repeated; and the
+    places that shards already knew."""
     read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-    hashes, places, known = read("hashes", U), read("places", np.uint32), read("known", np.uint32)
+    hashes, places, many, known = read("hashes", U), read("places", np.uint32), read("many", bool), table.column("known").to_pylist()
     tails, shards = read("tails", np.uint32), table.column("shard").to_pylist()
-    h, p = np.concatenate(hashes), np.concatenate(places)
-    src = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+    h, here = np.concatenate(hashes), np.concatenate(many)
     t = np.concatenate(tails) if sum(map(len, tails)) else np.zeros(len(h), np.uint32)
-    here = np.concatenate([np.isin(a, k) for a, k in zip(places, known, strict=True)])
     order = np.lexsort((t, h))
     h, t = h[order], t[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
     group = np.cumsum(first) - 1
-    twice = np.bincount(group) > 1
     hit = np.zeros(len(h), bool)
-    hit[order] = twice[group]
-    hit |= here
+    hit[order] = (np.bincount(group) > 1)[group]
     out: dict[str, list] = {"shard": [], "places": []}
     at = 0
-    for i, shard in enumerate(shards):
-        to = at + len(places[i])
-        got = np.union1d(p[at:to][hit[at:to]], known[i])
+    for shard, own, told in zip(shards, places, known, strict=True):
+        to = at + len(own)
+        got = told or own[hit[at:to] & ~here[at:to]].tobytes()
         at = to
-        if len(got):
+        if got:
             out["shard"].append(shard)
-            out["places"].append(got.astype(np.uint32).tobytes())
+            out["places"].append(got)
     return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("places", pa.binary())]))
 
 
@@ -146,7 +142,7 @@ def _windows_at(anchors: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.cumsum(turn[:-1]) > 0
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, shard_bytes: int = 4 << 20, keep_text: bool = True) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, shard_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, spans (word ranges removed, begin and
     end in turn) and, with ``keep_text``, kept (the words that stay, joined by one space)."""
     spark = docs.sparkSession
@@ -154,8 +150,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     residues = COVERS.get(period, (0,))
     anchor = window - period + 1
     size = text_bytes(docs, text)
-    shards = max(size // shard_bytes + 1, 4 * shuffle_partitions(spark))
-    buckets = shards
+    shards = max(size // shard_bytes + 1, shuffle_partitions(spark))
+    buckets = max(size // bucket_bytes + 1, shuffle_partitions(spark))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).repartition("shard")
