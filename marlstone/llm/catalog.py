@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, secrets, simhash, substrings, toxicity
+from . import decontaminate, language, mixing, quality_rules, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": substrings.op2_substrings,
         "op3_secrets": secrets.op3_secrets,
         "op4_language": language.op4_language,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_simhash": simhash.op6_simhash,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_mixing": mixing.op10_mixing,
