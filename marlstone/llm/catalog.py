@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, quality_rules, secrets, simhash, substrings, toxicity
+from . import decontaminate, language, mixing, quality_net, quality_rules, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_simhash": simhash.op6_simhash,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_quality_net": quality_net.op9_quality_net,
         "op10_mixing": mixing.op10_mixing,
     }
 
