@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, quality_net, quality_rules, secrets, simhash, substrings, toxicity
+from . import decontaminate, language, mixing, quality_net, quality_rules, secrets, simhash, substrings, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": language.op4_language,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_simhash": simhash.op6_simhash,
+        "op7_warc": warc.op7_warc,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_net": quality_net.op9_quality_net,
         "op10_mixing": mixing.op10_mixing,
@@ -26,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
+        "op7_warc": warc.OP7_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }

@@ -132,6 +132,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """``docs`` with one row of each group, that of the least id; columns and their order stay.
+
+    Of several rows with the least id one stays. A group in which every id is null keeps one row; null sorts last.
+    """
+    # A row is told by id and text, so nothing depends on how a scan numbers rows.
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit("2"), F.col(text)).alias("h2"))
+    keyed = docs.withColumn("_key", key)
+    rows = written(fingerprints(keyed, "_key", text, shingle).select("doc_id.id", "doc_id.h1", "doc_id.h2", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("first")
+    fps = written(rows.groupBy("fp").agg(first), "distinct-fingerprints")
+    roots = components(links(fps.select("fp"), distance))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    stay = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = written(stay.select(F.struct("first.id", "first.h1", "first.h2").alias("_stay")), "representatives")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = rows.groupBy(F.struct("id", "h1", "h2").alias("_again")).count().filter("count > 1").drop("count")
+    again = written(stay.join(again, F.col("_stay").eqNullSafe(F.col("_again"))).select("_again"), "repeated")
+    kept = keyed.join(stay, F.col("_key").eqNullSafe(F.col("_stay")), "left_semi")
+    if again.isEmpty():
+        return kept.select(*columns)
+    once = kept.join(again, F.col("_key").eqNullSafe(F.col("_again")), "left_anti").select(*columns)
+    return once.union(kept.join(again, F.col("_key").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["_key"]).select(*columns))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: fingerprints as 16 lower-case hex digits, and components."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
