@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import entities, retrieval, workflow
 
-MODULES = (retrieval,)
+MODULES = (retrieval, entities, workflow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import dense, evals, fusion, lexical
+from .registry import registry
 from .sqlkit import fold, table, tokens
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, SQL, query = registry()
 
 
 def _items(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
