@@ -22,6 +22,7 @@ equal or null ids do not matter, as rows are told apart by number; other columns
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ def _ask(shard: int, places: np.ndarray, h: np.ndarray, buckets: int, tail: np.n
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     cols: dict[str, list] = {k: [] for k in ("bucket", "shard", "hashes", "tails", "places", "many", "known")}
     add = lambda *x: [v.append(y) for v, y in zip(cols.values(), x, strict=True)]
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
+    for a, b in itertools.pairwise([*cuts.tolist(), len(h)]):
         one = new[a:b]
         add(int(bucket[a]), shard, h[a:b][one].tobytes(), b"" if tail is None else tail[a:b][one].tobytes(), places[a:b][one].tobytes(), many[a:b][one].tobytes(), b"")
     if many.any():  # by shard, not by hash: a very common passage would fill one bucket
