@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
-TOKEN = r"[a-z0-9][a-z0-9+#.-]*"
+#: Two signs or more: a lone one has no sign of the class after it, so it is skipped as a whole.
+TOKEN = r"[a-z0-9][a-z0-9+#.-]+"
 BODY_WORD = "[a-záéíóúñü]+"
 
 #: Query parameters that never tell pages apart (besides those that begin with utm_).
@@ -44,7 +45,9 @@ def fold_table() -> tuple[str, str]:
 def fold(c: Column) -> Column:
     """Case and accents folded; sharp s is two letters."""
     src, dst = fold_table()
-    return F.replace(F.translate(F.regexp_replace(F.lower(c), r"\p{M}", ""), src, dst), F.lit("ß"), F.lit("ss"))
+    low = F.lower(c)
+    marked = F.replace(F.translate(F.regexp_replace(low, r"\p{M}", ""), src, dst), F.lit("ß"), F.lit("ss"))
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(marked)
 
 
 def squeeze(c: Column) -> Column:
@@ -59,8 +62,7 @@ def search_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Search tokens of two signs or more; null gives none."""
-    found = F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def body_words(c: Column) -> Column:
@@ -80,7 +82,10 @@ def clean_string(c: Column) -> Column:
 
 def distinct_by_case(items: Column) -> Column:
     """Items in order, each once whatever its case; the first spelling stays."""
-    return F.filter(items, lambda x, i: F.coalesce(F.array_position(F.transform(items, lambda y: F.lower(y)), F.lower(x)) == i + 1, F.lit(False)))
+    keys = F.array(F.transform(items, lambda y: F.lower(y)))
+    # The keys are bound once, as the element of an array of one.
+    first = F.transform(keys, lambda k: F.filter(items, lambda x, i: F.coalesce(F.array_position(k, F.get(k, i)) == i + 1, F.lit(False))))
+    return F.get(first, 0)
 
 
 def clean_list(items: Column) -> Column:
