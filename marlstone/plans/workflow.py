@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import numbers, plain_number
 from ..operators import chunks, fitting, lexical, matching, queue, sections, telemetry, validators
+from ..sources.state import work_dir
 from .registry import registry
 from .retrieval import POSTINGS_SQL
 from .sqlkit import squeeze, table, tokens
@@ -287,3 +290,16 @@ def contrast_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices, of at most six significant digits, without closing zeros."""
     return table(spark, sf_dir, "part").select("p_partkey", plain_number(F.round("p_retailprice", 2)).alias("price"))
+
+
+@query("SELECT lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang")
+def stream_incremental_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a file stream into a table, twice with one checkpoint: the second run must add nothing."""
+    work = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parque[t]")
+        run = stream.select("lang", "n_chars").writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out")
+        run.awaitTermination()
+    out = spark.read.schema("lang string, n_chars bigint").parquet(f"{work}/out")
+    return out.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))

@@ -7,6 +7,8 @@ that Spark reads will do.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,12 @@ class StateStore:
 def latest(runs: DataFrame, order: str = "run_id") -> DataFrame:
     """The newest report."""
     return runs.agg(F.max_by(F.struct(*runs.columns), order).alias("x")).select("x.*")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder as ``spark.checkpoint.dir`` names it; a temporary one where that is unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import cli
 from marlstone.operators import chunks, diff, fidelity, language, merge, sections
 from marlstone.sources import feeds, markdown
 from marlstone.sources.state import StateStore, latest
@@ -149,3 +150,24 @@ def test_heading_stack_against_loop(spark):
             want[f, pos] = [t for _, t in stack]
     got = sections.hierarchy(spark.createDataFrame(rows, "f int, pos int, level int, title string"), "f").collect()
     assert {(r["f"], r["pos"]): r["heading_path"] for r in got} == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    data = tmp_path / "in"
+    data.mkdir()
+    put(data, a=A, b={"vacancies": [{"company": ""}]})
+    assert cli.main(["ingest", str(data), str(tmp_path / "s"), "--run-id", "r1", "--fail-on-quarantine"], spark) == 2
+    assert "quarantined=1" in capsys.readouterr().out
+    assert cli.main(["retrieve", str(tmp_path / "s"), "python", "--top-k", "1"], spark) == 0
+    assert capsys.readouterr().out.split()[2].endswith("::requirements")
+    (tmp_path / "x.md").write_text(MD)
+    assert cli.main(["validate", str(tmp_path)], spark) == 1
+    assert "missing_field" in capsys.readouterr().out
+
+
+def test_match_in_one_plan(spark, tmp_path):
+    put(tmp_path, a=A)
+    rows = feeds.adapt(feeds.check(feeds.envelope(feeds.read_files(spark, str(tmp_path)))))
+    evidence = spark.createDataFrame([("skills::python", "skills", "skill", "Python\nlevel core", "core", "s.md"), ("p::x", "p", "section", "other", None, "p.md")], "chunk_id string, record_id string, chunk_type string, text string, proficiency string, source_path string")
+    got = cli.match(rows, evidence).collect()
+    assert [(r["requirement"], r["coverage"], r["evidence_chunk_ids"]) for r in got] == [("Python", "strong", ["skills::python"])]
