@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
+        "op2_substrings": substrings.OP2_SQL,
         "op7_warc": warc.OP7_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }
