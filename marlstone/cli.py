@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fusion, lexical, matching, sections
+from .operators import hybrid, lexical, matching, sections
 from .sources import feeds, markdown
 from .sources.state import StateStore
 from .streaming import ingest
@@ -25,14 +25,12 @@ def retrieve(store: StateStore, query: str, k: int = 5, include_source_fit: bool
     return hits.join(chunks.select("chunk_id", "vacancy_id", "chunk_type", "source_paths"), "chunk_id").orderBy("rank")
 
 
-def match(records: DataFrame, evidence: DataFrame, k: int = 10, final: int = 6) -> DataFrame:
-    """Coverage of every requirement of every record by evidence chunks (lexical mode with anchors), in one plan."""
+def match(records: DataFrame, evidence: DataFrame, mode: str = "lexical", k: int = 6, **sides: object) -> DataFrame:
+    """Coverage of every requirement of every record by evidence chunks, in one plan; ``sides`` go to ``hybrid.retrieve``."""
     reqs = matching.requirements(records).withColumn("q", F.concat_ws("#", "vacancy_id", F.col("req_pos").cast("string")))
-    asked = reqs.select(F.col("q").alias("query_id"), F.col("requirement").alias("text"))
-    hits = lexical.top_k(lexical.raw_scores(evidence, asked), k).withColumn("retrieval_source", F.lit("lexical"))
-    found = fusion.inject(hits, fusion.anchors(asked, evidence, fusion.max_anchors(k))).filter(F.col("pos") <= final)
-    full = found.join(evidence.select("chunk_id", "record_id", "chunk_type", "proficiency", "source_path"), "chunk_id").join(reqs.select(F.col("q").alias("query_id"), "vacancy_id", "req_pos"), "query_id")
-    return matching.coverage(reqs.drop("q"), full)
+    found = hybrid.retrieve(reqs.select(F.col("q").alias("query_id"), F.col("requirement").alias("text")), evidence, mode, k, **sides)
+    about = evidence.select("chunk_id", "record_id", "chunk_type", "proficiency", "source_path")
+    return matching.coverage(reqs.drop("q"), found.join(about, "chunk_id").join(reqs.select(F.col("q").alias("query_id"), "vacancy_id", "req_pos"), "query_id"))
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

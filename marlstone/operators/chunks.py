@@ -92,3 +92,13 @@ def active(chunks: DataFrame) -> DataFrame:
     """Chunks that are indexed; of several with one id the last by position counts."""
     ok = chunks.filter("cv_eligible AND retrieval_class = 'evidence'")
     return ok.groupBy("chunk_id").agg(F.max_by(F.struct(*[F.col(c) for c in ok.columns if c != "chunk_id"]), "pos").alias("x")).select("chunk_id", "x.*")
+
+
+PROMPT = ("chunk_id", "record_id", "chunk_type", "title", "text", "proficiency", "metric_refs", "constraints", "source_path", "attributes")
+
+
+def compact(chunks: DataFrame) -> DataFrame:
+    """Chunks as they go into a prompt: (chunk_id, payload JSON, size in characters), for the budget."""
+    have = [c for c in PROMPT if c in chunks.columns]
+    payload = F.to_json(F.struct(*have), {"ignoreNullFields": "false"})
+    return chunks.select("chunk_id", payload.alias("payload")).withColumn("size", F.length("payload"))

@@ -195,3 +195,9 @@ def feed_page(day: str, rows: list[Mapping[str, object]]) -> str:
     safe = lambda x: html.escape(str(x if x is not None else ""), quote=True)
     items = "".join(f"<li><b>{safe(r['company'])}</b> {safe(r['role_title'])} <i>{safe(r['generation_status'])}</i></li>" for r in rows)
     return f"<!doctype html><meta charset=utf-8><title>{safe(day)}</title><ul>{items}</ul>\n"
+
+
+def models(docs: DataFrame, config_json: str) -> DataFrame:
+    """Documents with digests of themselves and of the configuration they are shown with."""
+    body = F.to_json(F.struct(*sorted(c for c in docs.columns if c != "doc_id")), {"ignoreNullFields": "false"})
+    return docs.withColumn("source_cv_hash", F.sha2(body, 256)).withColumn("config_hash", F.sha2(F.lit(config_json), 256))

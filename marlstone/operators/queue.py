@@ -76,3 +76,14 @@ def best_iteration(candidates: DataFrame, by: str) -> DataFrame:
 def escalation_tier(iteration: Column) -> Column:
     """1, 2 or 3 for iterations 1-2, 3-4 and 5."""
     return F.when(iteration <= 2, 1).when(iteration <= 4, 2).otherwise(3)
+
+
+def stale(entries: DataFrame, records: DataFrame, version: int, key: str = "vacancy_id") -> DataFrame:
+    """Keys of entries that another logic version wrote and whose record still exists."""
+    old = entries.filter(~F.col("logic_version").eqNullSafe(F.lit(version)))
+    return old.select(key).join(records.select(key), key, "left_semi")
+
+
+def candidates(entries: DataFrame, records: DataFrame, fresh: DataFrame, version: int, key: str = "vacancy_id") -> DataFrame:
+    """The queue in order: deferred entries, stale ones, then freshly indexed ones, each key once."""
+    return ordered_union(entries.filter(F.col("status") == DEFERRED).select(key), stale(entries, records, version, key), fresh.select(key), key=key)

@@ -23,7 +23,7 @@ SPECIALIZATIONS = ("arima", "sarima", "prophet")
 EXPERT = ("expert", "expertise", "advanced", "mastery", "experto", "experta", "dominio avanzado")
 BOUNDARIES = ("do not claim", "do not present", "must not claim", "no claim", "no inferred", "do not infer")
 APPROXIMATE = ("approximately", "approx.", "approx ", "aproximadamente")
-ATTRIBUTIONS = ("llm", "nora", "assistant")
+ATTRIBUTIONS = ("llm", "assistant")
 MARKERS = {
     "en": ("the", "and", "with", "for", "led", "built", "developed", "designed", "improved", "model", "data", "business", "production"),
     "es": ("el", "la", "los", "las", "con", "para", "lideró", "desarrolló", "diseñó", "mejoró", "modelo", "datos", "negocio", "producción"),
@@ -57,8 +57,8 @@ def _years(text: Column) -> Column:
     return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(YEARS), F.lit(1)), lambda x: x.cast("int")))
 
 
-def claim_issues(claims: DataFrame, evidence: DataFrame, allowed: DataFrame) -> DataFrame:
-    """All issues of all claims. A claim without references, or with an unknown one, has that issue alone."""
+def claim_issues(claims: DataFrame, evidence: DataFrame, allowed: DataFrame, attributions: tuple[str, ...] = ATTRIBUTIONS) -> DataFrame:
+    """All issues of all claims; ``attributions`` are names that a metric may be forbidden to be credited to. A claim without references, or with an unknown one, has that issue alone."""
     c = cited(claims, evidence, allowed)
     cites, text = F.col("cites"), F.lower("text")
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.coalesce(x["ev_text"], F.lit(""))), "\n")
@@ -88,7 +88,7 @@ def claim_issues(claims: DataFrame, evidence: DataFrame, allowed: DataFrame) ->
         (measured & (F.size(extra) > 0), "metric_value_not_in_evidence", F.array_join(extra, ",")),
         (measured & F.contains(limits, F.lit("up to")) & ~_has(text, ("up to", "hasta")), "metric_qualifier_lost", F.lit("up to")),
         (measured & F.contains(limits, F.lit("approximately")) & ~_has(text, APPROXIMATE), "metric_qualifier_lost", F.lit("approximately")),
-        (measured & F.contains(limits, F.lit("do not attribute")) & (F.size(_shared(ATTRIBUTIONS, limits, text)) > 0), "forbidden_metric_attribution", F.array_join(_shared(ATTRIBUTIONS, limits, text), ",")),
+        (measured & F.contains(limits, F.lit("do not attribute")) & (F.size(_shared(attributions, limits, text)) > 0), "forbidden_metric_attribution", F.array_join(_shared(attributions, limits, text), ",")),
     ]
     single = F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), detail.alias("detail"))) for test, code, detail in rules])
     named = F.transform(F.filter(F.array(*[F.lit(s) for s in SPECIALIZATIONS]), lambda s: F.contains(text, s) & ~F.contains(F.lower("ev"), s)), lambda s: F.struct(F.lit("unsupported_specialization").alias("code"), s.alias("detail")))

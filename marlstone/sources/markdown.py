@@ -21,6 +21,14 @@ from ..operators.sections import linked_paths, metric_refs
 
 # Statuses that are not reused; keys that are no attributes.
 NOT_REUSED = ("draft", "deprecated", "needs_reconciliation")
+# Vocabularies of the governance check.
+REQUIRED = ("schema_version", "record_id", "record_type", "status", "last_updated", "confidence", "visibility", "public_safe", "source_refs")
+VOCABULARY = {
+    "record_type": ("profile", "education", "certifications", "skills", "role", "project", "achievement_registry", "governance", "conflict_log"),
+    "status": ("draft", "needs_reconciliation", "canonical", "validated_public", "validated_public_supporting", "deprecated"),
+    "confidence": ("high", "medium", "low"),
+}
+SKILL_LEVELS = ("core", "working", "familiarity")
 RESERVED = ("schema_version", "record_id", "record_type", "status", "confidence", "visibility", "public_safe", "source_refs")
 
 
@@ -136,19 +144,44 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
     return records.groupBy("record_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source_path")).alias("source_paths")).filter("n > 1")
 
 
+def manifest(records: DataFrame) -> DataFrame:
+    """Counts of records by retrieval class, by type and in all, in one pass: (retrieval_class, record_type, n, n_candidates); null where it is summed over."""
+    sets = records.groupingSets([["retrieval_class"], ["record_type"], []], "retrieval_class", "record_type")
+    return sets.agg(F.count("*").alias("n"), F.count_if("embedding_candidate").alias("n_candidates"))
+
+
 def governance_issues(records: DataFrame, relations_to: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
-    """``(source_path, severity, code, detail)``: missing fields, twice used ids, source references that ``registry(source_ref)`` lacks, and links to
-    files that do not exist."""
-    need = [F.when(F.col(c) == "", F.lit(c)) for c in ("record_type", "status", "confidence", "visibility")]
-    missing = records.select("source_path", F.explode(F.array_compact(F.array(*need))).alias("detail")).select("source_path", F.lit("error").alias("severity"), F.lit("missing_field").alias("code"), "detail")
-    twice = duplicate_ids(records).select(F.explode("source_paths").alias("source_path"), F.lit("error").alias("severity"), F.lit("duplicate_record_id").alias("code"), F.col("record_id").alias("detail"))
-    out = missing.unionByName(twice)
+    """``(source_path, severity, code, detail)`` of normalised records: fields, vocabularies, dates and ids, repeated record and metric ids, metrics that
+    no record defines, skill levels, references that ``registry(source_ref)`` lacks, and links to files that do not exist."""
+    meta = lambda k: F.get_json_object("attributes", f"$.{k}")
+    error = lambda test, code, detail="": F.when(test, F.struct(F.lit("error").alias("severity"), F.lit(code).alias("code"), (F.lit(detail) if isinstance(detail, str) else F.coalesce(detail, F.lit(""))).alias("detail")))
+    warn = lambda test, code: F.when(test, F.struct(F.lit("warning").alias("severity"), F.lit(code).alias("code"), F.lit("").alias("detail")))
+    checks = [error(F.col(c) == "", "missing_field", c) for c in ("record_type", "status", "confidence", "visibility")]
+    checks += [error((F.col(c) != "") & ~F.col(c).isin(*words), f"invalid_{c}", F.col(c)) for c, words in VOCABULARY.items()]
+    checks += [
+        error((F.col("visibility") != "public") | ~F.col("public_safe"), "not_public"), error(~F.coalesce(meta("last_updated").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), "invalid_last_updated", meta("last_updated")),
+        error(~F.col("record_id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), "invalid_record_id", F.col("record_id")),
+        warn((F.size("source_refs") == 0) & (F.col("record_type") != "governance"), "no_source_refs"), warn(F.contains("body", F.lit("To be populated")) | (F.col("status") == "draft"), "incomplete"),
+    ]
+    level = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"^- \*\*Level:\*\*"))
+    named = F.transform(level, lambda x: F.lower(F.regexp_extract(x, r"^- \*\*Level:\*\*\s*(.*?)\s*$", 1)))
+    wrong = F.filter(named, lambda x: ~x.isin(*SKILL_LEVELS))
+    skills = F.col("record_type") == "skills"
+    checks += [error(skills & (F.size(level) == 0), "no_skill_level"), error(skills & (F.size(wrong) > 0), "invalid_skill_level", F.array_join(wrong, ","))]
+    out = records.select("source_path", F.inline(F.array_compact(F.array(*checks))))
+    row = lambda df, severity, code, detail: df.select("source_path", F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col(detail).cast("string").alias("detail"))
+    out = out.unionByName(row(duplicate_ids(records).withColumn("source_path", F.explode("source_paths")), "error", "duplicate_record_id", "record_id"))
+    defined = records.select("source_path", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^##\s+(ACH-[A-Z0-9-]+)\b"), F.lit(1))).alias("metric"))
+    twice = defined.groupBy("metric").agg(F.count("*").alias("n")).filter("n > 1").select("metric")
+    out = out.unionByName(row(defined.join(twice, "metric", "left_semi").distinct(), "error", "duplicate_metric", "metric"))
+    used = records.select("source_path", F.explode("metric_refs").alias("metric"))
+    out = out.unionByName(row(used.join(defined.select("metric").distinct(), "metric", "left_anti"), "error", "unknown_metric", "metric"))
     if registry is not None:
         refs = records.select("source_path", F.explode("source_refs").alias("source_ref")).join(registry.select("source_ref"), "source_ref", "left_anti")
-        out = out.unionByName(refs.select("source_path", F.lit("error").alias("severity"), F.lit("unknown_source_ref").alias("code"), F.col("source_ref").alias("detail")))
+        out = out.unionByName(row(refs, "error", "unknown_source_ref", "source_ref"))
     if relations_to is not None:
         links = records.select("source_path", "record_id", F.size("linked_markdown_paths").alias("n"))
         found = relations_to.filter("relation = 'links_to'").groupBy(F.col("source").alias("record_id")).agg(F.count("*").alias("m"))
-        lost = links.join(found, "record_id", "left").filter(F.col("n") > F.coalesce("m", F.lit(0)))
-        out = out.unionByName(lost.select("source_path", F.lit("warning").alias("severity"), F.lit("unresolved_link").alias("code"), (F.col("n") - F.coalesce("m", F.lit(0))).cast("string").alias("detail")))
+        lost = links.join(found, "record_id", "left").withColumn("lost", F.col("n") - F.coalesce("m", F.lit(0))).filter("lost > 0")
+        out = out.unionByName(row(lost, "error", "broken_link", "lost"))
     return out

@@ -7,6 +7,7 @@ that Spark reads will do.
 
 from __future__ import annotations
 
+import subprocess
 import tempfile
 
 from pyspark.errors import AnalysisException
@@ -70,3 +71,17 @@ def work_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def resolve_commit(root: str) -> str | None:
+    """Commit of a local working copy, null where there is none."""
+    try:
+        done = subprocess.run(["git", "rev-parse", "HEAD"], cwd=root, capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line, fields by name, nulls written."""
+    df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import context, generation, presentation
+from marlstone.operators import chunks, config, context, dense, generation, hybrid, presentation, queue
+from marlstone.sources import markdown, state
 
 
 def line(text, *refs):
@@ -137,3 +138,86 @@ def test_batch(spark):
     assert [r["status"] for r in got] == ["FAILED_REVIEW_REQUIRED", "PASS", "DEFERRED_CAP"]
     with pytest.raises(ValueError):
         generation.check_strategy({"language": "es"}, set(), "en")
+
+
+def test_letter(spark):
+    record = {"application_language": "en", "company": "Acme ", "role_title": "Lead"}
+
+    class Writer:
+        def __init__(self, ref):
+            self.ref = ref
+
+        def call(self, task, tier, payload, tokens):
+            return {"language": "en", "company": "ACME", "role": "lead", "paragraphs": [{"text": "hello", "evidence_refs": [self.ref]}]}, None
+
+    assert generation.write_letter(spark, Writer("s1"), record, document())["company"] == "ACME"
+    with pytest.raises(ValueError, match="unknown_evidence_ref"):
+        generation.write_letter(spark, Writer("zz"), record, document())
+
+
+def test_checked_config():
+    for bad in (dict(order=("summary",)), dict(modes={"summary": "always"}), dict(modes=dict(config.Layout().modes) | {"experience": "never"})):
+        with pytest.raises(ValueError):
+            config.Layout(**bad)
+    for bad in (dict(max_skills=9), dict(min_role_bullets=4, max_role_bullets=3)):
+        with pytest.raises(ValueError):
+            config.Density(**bad)
+    tokens = {"primary": "p", "secondary": "s", "accent": "a", "text": "t", "muted": "m"}
+    ok = {"decision": "PASS", "ats_safe": True, "print_safe": True}
+    assert config.adapt_style(tokens, ok | {"primary_usage": "accents_only", "secondary_usage": "accents_only"}) == {"primary": "t", "secondary": "m", "accent": "p", "text": "t", "muted": "m"}
+    with pytest.raises(ValueError):
+        config.adapt_style(tokens, ok | {"ats_safe": False})
+    config.render_gate(True, False, True, False)
+    for bad in ((False, False, False, True), (False, True, True, False)):
+        with pytest.raises(ValueError):
+            config.render_gate(*bad)
+    with pytest.raises(ValueError):
+        config.check_review(ok, False)
+    assert config.model_ids({"MODEL_A": "m-2"}, {"a": "m-1", "b": "m-3"}, "m-[0-9]") == {"a": "m-2", "b": "m-3"}
+    with pytest.raises(ValueError):
+        config.model_ids({}, {"a": "x"}, "m-[0-9]")
+
+
+def test_queue_candidates(spark):
+    entries = spark.createDataFrame([("d", "DEFERRED_CAP", 4), ("s", "PASS", 3), ("gone", "PASS", 3), ("n", "PASS", None)], "vacancy_id string, status string, logic_version int")
+    records = spark.createDataFrame([("d",), ("s",), ("f",), ("n",)], "vacancy_id string")
+    fresh = spark.createDataFrame([("s",), ("f",)], "vacancy_id string")
+    assert [r["vacancy_id"] for r in queue.candidates(entries, records, fresh, 4).orderBy("pos").collect()] == ["d", "n", "s", "f"]
+
+
+EV = [("skills::sql", "skills", "skill", "SQL\nx", "core", "s.md"), ("p::a", "p", "section", "spark kafka", None, "p.md"), ("q::a", "q", "section", "kafka", None, "q.md")]
+
+
+def test_hybrid_modes(spark):
+    ev = spark.createDataFrame(EV, "chunk_id string, record_id string, chunk_type string, text string, proficiency string, source_path string")
+    q = spark.createDataFrame([(1, "spark sql")], "query_id int, text string")
+    rel = spark.createDataFrame([("p", "links_to", "q")], "source string, relation string, target string")
+    emb = dense.HashEmbedder(16)
+    vec = spark.createDataFrame([(r[0], emb.embed([r[3]])[0][0]) for r in EV[:2]], "chunk_id string, vector array<double>")
+    qv = spark.createDataFrame([(1, emb.embed(["spark sql"])[0][0])], "query_id int, vector array<double>")
+    lex = hybrid.retrieve(q, ev, "lexical", 6).orderBy("pos").collect()
+    assert {r["chunk_id"] for r in lex} == {"skills::sql", "p::a"}
+    hyb = hybrid.retrieve(q, ev, "auto", 6, vec, qv, rel).orderBy("pos").collect()
+    assert hyb[0]["chunk_id"] == "skills::sql" and hyb[0]["retrieval_source"] == "anchor" and (hyb[-1]["chunk_id"], hyb[-1]["retrieval_source"]) == ("q::a", "graph")
+    verdict = lambda h: h.select("query_id", "chunk_id", F.col("pos").alias("verdict_pos"), F.lit(60).alias("relevance"), F.lit("direct").alias("support"), F.lit("").alias("reason"))
+    assert {r["score"] for r in hybrid.retrieve(q, ev, "hybrid-rerank", 6, vec, qv, rel, verdict).collect()} == {60.0}
+    with pytest.raises(ValueError):
+        hybrid.retrieve(q, ev, "hybrid")
+    assert [r["size"] for r in chunks.compact(ev).collect()] == [len(r["payload"]) for r in chunks.compact(ev).collect()]
+
+
+def test_governance(spark, tmp_path):
+    head = "---\nschema_version: 3\nrecord_id: {id}\nrecord_type: {t}\nstatus: canonical\nlast_updated: 2026-01-01\nconfidence: high\nvisibility: public\npublic_safe: true\nsource_refs: [{refs}]\n---\n"
+    (tmp_path / "a.md").write_text(head.format(id="good-one", t="achievement_registry", refs="S1") + "## ACH-A-1 — x\n[l](b.md)\n")
+    (tmp_path / "b.md").write_text(head.format(id="Bad_Id", t="skills", refs="S9") + "## S\n- **Level:** guru\nACH-ZZ\n[l](none.md)\n")
+    from marlstone.operators import sections
+
+    r = markdown.normalize(markdown.read_files(spark, str(tmp_path)))
+    reg = spark.createDataFrame([("S1",)], "source_ref string")
+    got = {(x["source_path"], x["code"]) for x in markdown.governance_issues(r, sections.relations(r), reg).collect()}
+    assert got == {("b.md", c) for c in ("invalid_record_id", "invalid_skill_level", "unknown_metric", "unknown_source_ref", "broken_link")}
+    m = {(x["retrieval_class"], x["record_type"]): x["n"] for x in markdown.manifest(r).collect()}
+    assert m == {("evidence", None): 2, (None, "skills"): 1, (None, "achievement_registry"): 1, (None, None): 2}
+    assert state.resolve_commit(str(tmp_path)) is None
+    state.write_jsonl(r.select("source_path", "record_id"), str(tmp_path / "out"))
+    assert '{"record_id":"good-one","source_path":"a.md"}' in [x[0] for x in spark.read.text(str(tmp_path / "out")).collect()]
