@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_docs: int, allowed: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_docs: int, allowed: Column | None = None, doc_id: str = "doc_id", text: str = "text", balanced: bool = False) -> DataFrame:
     """``(doc_id, text, y)`` of about ``sample_docs`` labelled documents at most, picked by a hash of the id.
 
+    With ``balanced``, as many of each label where there are as many; a learner then has to put the prior right.
     ``allowed`` is a condition on labels (which has column ``doc_id``), such as a hold-out rule. Null labels, ids
     and texts don't take part; of several labels of an id the greatest counts. The picked ids, bounded by
     ``sample_docs``, are broadcast to one scan of the documents.
@@ -23,11 +24,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_docs:
     if allowed is not None:
         known = known.filter(allowed)
     known = known.groupBy("doc_id", "stratum").agg(F.max("y").alias("y"))
+    if balanced:
+        known = known.withColumn("stratum", F.col("y"))
     picked = bounded_sample(known, F.col("doc_id"), "stratum", sample_docs).select("doc_id", "y")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     return rows.join(F.broadcast(picked), "doc_id")
 
 
+def share(labels: DataFrame, label: str, allowed: Column | None = None) -> float | None:
+    """Share of label 1 among all allowed labels; None if there are none."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    return (known if allowed is None else known.filter(allowed)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """The collected sample in an order that depends on ids only, mixed by hash."""
     ids = [str(x) for x in table.column("doc_id").to_pylist()]

@@ -5,7 +5,8 @@ of pairs with one word between, hashed to 2**BITS. FTRL-proximal (McMahan and ot
 a rate for each coordinate and, by its L1 term, exact zeros for all but a few; only the coordinates with a weight
 are broadcast, at most as many as the bounded sample has features.
 
-Fitted on about ``sample_docs`` labelled documents, in an order by hash, so that every run agrees.
+Fitted on about ``sample_docs`` labelled documents, half of them toxic where there are as many, in an order by hash, so that every
+run agrees; the intercept is then moved to the share of toxic labels outside the sample.
 Cases: null and empty texts get the score of the intercept; repeated features count once, so long texts are not
 toxic by length; repeated rows each get a row; null ids are carried; without labels the score is 0 for all; other
 columns are ignored.
@@ -13,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_of
-from .labelled import labelled_sample, ordered, sigmoid
+from .labelled import labelled_sample, ordered, share, sigmoid
 from .textscan import LETTER, LOWER, STEP, Texts, U, gram_hash, hash_words, mix, pieces, runs, texts, whole
 
 BITS = 22
@@ -97,8 +99,10 @@ class Model:
         return score
 
 
-def train(sample: DataFrame, passes: int = 4) -> Model:
-    """From ``(doc_id, text, y)``, a bounded sample; only its packed features come to the driver."""
+def train(sample: DataFrame, passes: int = 4, prior: float | None = None) -> Model:
+    """From ``(doc_id, text, y)``, a bounded sample; only its packed features come to the driver.
+
+    ``prior`` is the share of label 1 outside the sample: the intercept of a balanced sample is moved to it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +124,10 @@ def train(sample: DataFrame, passes: int = 4) -> Model:
         for at, y in zip(examples, ys, strict=True):
             learner.learn(at, y)
     at = np.flatnonzero(np.abs(learner.z) > learner.l1)
-    return Model(at, learner.weights(at), learner.bias)
+    had, bias = sum(ys) / len(ys), learner.bias
+    if prior is not None and 0 < prior < 1 and 0 < had < 1:
+        bias += math.log(prior / (1 - prior)) - math.log(had / (1 - had))
+    return Model(at, learner.weights(at), bias)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,6 +147,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str, sample_docs: int = 12000) ->
     """The query: learns labels outside the held-out fold (remainder 2 of 4), scores all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train(labelled_sample(docs, labels, "toxic", sample_docs, fold_of(F.col("doc_id"), 4) != 2))
+    learnt = fold_of(F.col("doc_id"), 4) != 2
+    model = train(labelled_sample(docs, labels, "toxic", sample_docs, learnt, balanced=True), prior=share(labels, "toxic", learnt))
     out = score(docs, model)
     return out.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
