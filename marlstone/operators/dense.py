@@ -39,9 +39,11 @@ class HashEmbedder:
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame, digits: int | None = 6, chunk_id: str = "chunk_id", vector: str = "vector") -> DataFrame:
-    """``(query_id, chunk_id, score)`` of every vector against a stated set of query vectors, which is the broadcast side:
-    it is the caller's list of queries, a handful whatever the corpus."""
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("q")))
+    """``(query_id, chunk_id, score)`` of every vector against a stated set of query vectors.
+
+    The set is the caller's list of queries, a handful whatever the corpus; no hint is given, so it is broadcast only if the
+    optimiser finds it below the session's threshold."""
+    q = queries.select("query_id", F.col("vector").alias("q"))
     score = cosine(F.col("q"), F.col("v"))
     pairs = vectors.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("v")).crossJoin(q)
     return pairs.select("query_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))

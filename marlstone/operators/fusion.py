@@ -49,8 +49,8 @@ def named_title(query: Column, title: Column) -> Column:
 
 def anchors(queries: DataFrame, chunks: DataFrame, limit: int, skill_record: str = "skills", role_prefix: str = "role-") -> DataFrame:
     """``(query_id, chunk_id, pos, reason)``: chunks that a query names, then, for queries about a length of time,
-    role chunks with a period, canonical ones first. Queries are the stated (broadcast) side."""
-    q = F.broadcast(queries.select("query_id", search_text(F.col("text")).alias("q")))
+    role chunks with a period, canonical ones first. Queries are the stated side; the optimiser broadcasts them if they are small."""
+    q = queries.select("query_id", search_text(F.col("text")).alias("q"))
     skills = chunks.filter((F.col("record_id") == skill_record) & (F.col("chunk_type") == "skill")).withColumn("title", search_text(F.substring_index("text", "\n", 1)))
     named = skills.filter(F.length("title") >= 2).join(q, F.contains(F.col("q"), F.col("title"))).select("query_id", "chunk_id", F.lit(0).alias("prio"), F.lit("exact_named_skill").alias("reason"))
     asks = q.filter(F.arrays_overlap(F.split("q", " "), F.array(*[F.lit(w) for w in DURATION_WORDS])))
