@@ -58,18 +58,23 @@ def title_count(title: Column, lang: str) -> Column:
 
 
 def infer_language(title: Column, body: Column, explicit: Column) -> Column:
-    """``struct(lang, confidence, source)``."""
-    words = body_words(body)
-    en, es = marker_count(words, "en"), marker_count(words, "es")
+    """``struct(lang, confidence, source)``.
+
+    Words, then counts, are bound once each, as the element of an array of one: the cases below use them several times."""
+    said, t_en, t_es = explicit_language(explicit), title_count(title, "en"), title_count(title, "es")
+    counts = F.transform(F.array(body_words(body)), lambda w: F.struct(*[marker_count(w, lang).alias(lang) for lang in MARKERS], t_en.alias("t_en"), t_es.alias("t_es"), said.alias("said")))
+    return F.get(F.transform(counts, _choose), 0)
+
+
+def _choose(c: Column) -> Column:
+    en, es = c["en"], c["es"]
     sure = lambda n: F.least(F.lit(0.98), F.lit(0.72) + F.lit(0.03) * n)
-    t_en, t_es = title_count(title, "en"), title_count(title, "es")
-    said = explicit_language(explicit)
     cases = [
-        (said.isNotNull(), said, F.lit(1.0), "explicit_source"),
+        (c["said"].isNotNull(), c["said"], F.lit(1.0), "explicit_source"),
         (en >= F.greatest(F.lit(3), es + 2), F.lit("en"), sure(en), "vacancy_text"),
         (es >= F.greatest(F.lit(3), en + 2), F.lit("es"), sure(es), "vacancy_text"),
-        (t_en > t_es, F.lit("en"), F.lit(TITLE_CONFIDENCE["en"]), "role_title"),
-        (t_es > t_en, F.lit("es"), F.lit(TITLE_CONFIDENCE["es"]), "role_title"),
+        (c["t_en"] > c["t_es"], F.lit("en"), F.lit(TITLE_CONFIDENCE["en"]), "role_title"),
+        (c["t_es"] > c["t_en"], F.lit("es"), F.lit(TITLE_CONFIDENCE["es"]), "role_title"),
     ]
     out = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("undetermined").alias("source"))
     for test, lang, confidence, source in reversed(cases):
