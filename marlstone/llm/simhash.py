@@ -17,7 +17,7 @@ unless all ids are null; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,8 @@ def fingerprint(h: np.ndarray) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def text_fingerprints(t: Texts, shingle: int) -> list[int]:
-    """Fingerprint of each row: XXH64 of each run of ``shingle`` words, lower-cased and joined by one space."""
-    out: list[int] = []
+def text_shingles(t: Texts, shingle: int) -> Iterator[np.ndarray]:
+    """Of each row XXH64 of each run of ``shingle`` words, lower-cased and joined by one space; none without words."""
     digest = xxhash.xxh64_intdigest
     for _, _, part in pieces(t):
         low = LOWER[part.data]
@@ -56,7 +55,7 @@ def text_fingerprints(t: Texts, shingle: int) -> list[int]:
         for d in range(len(part.offsets) - 1):
             a, b = int(w.first[d]), int(w.first[d + 1])
             if a == b:
-                out.append(0)
+                yield np.empty(0, U)
                 continue
             raw = low[w.starts[a] : w.ends[b - 1]].tobytes()
             begins, ends = w.starts[a:b] - w.starts[a], w.ends[a:b] - w.starts[a]
@@ -69,8 +68,12 @@ def text_fingerprints(t: Texts, shingle: int) -> list[int]:
             for at in range(0, len(h), 1 << 16):
                 s, e = begins[at : at + (1 << 16)][: len(h) - at].tolist(), ends[at + k - 1 : at + k - 1 + (1 << 16)].tolist()
                 h[at : at + len(s)] = [digest(raw[i:j], SEED) for i, j in zip(s, e, strict=True)]
-            out.append(fingerprint(h))
-    return out
+            yield h
+
+
+def text_fingerprints(t: Texts, shingle: int) -> list[int]:
+    """Fingerprint of each row."""
+    return [fingerprint(h) for h in text_shingles(t, shingle)]
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -137,13 +140,21 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Of several rows with the least id one stays. A group in which every id is null keeps one row; null sorts last.
     """
-    # A row is told by id and text, so nothing depends on how a scan numbers rows.
-    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit("2"), F.col(text)).alias("h2"))
-    keyed = docs.withColumn("_key", key)
+    keyed = with_key(docs, doc_id, text)
     rows = written(fingerprints(keyed, "_key", text, shingle).select("doc_id.id", "doc_id.h1", "doc_id.h2", "fp"), "fingerprints")
+    return keep_least(docs, keyed, rows, lambda fps: links(fps, distance))
+
+
+def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` and ``_key``: a row is told by id and text, so nothing depends on how a scan numbers rows."""
+    return docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit("2"), F.col(text)).alias("h2")))
+
+
+def keep_least(docs: DataFrame, keyed: DataFrame, rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each component of what ``link`` joins among the distinct ``fp`` of ``rows(id, h1, h2, fp)``, the row of the least id."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("first")
     fps = written(rows.groupBy("fp").agg(first), "distinct-fingerprints")
-    roots = components(links(fps.select("fp"), distance))
+    roots = components(link(fps.select("fp")))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     stay = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     stay = written(stay.select(F.struct("first.id", "first.h1", "first.h2").alias("_stay")), "representatives")
