@@ -49,17 +49,17 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded_sample(labelled: DataFrame, key: Column, strata: str, total: int, max_strata: int = 64) -> DataFrame:
-    """About ``total`` rows at most, as many of each value of ``strata``, picked by a hash of ``key``.
+def bounded_sample(labelled: DataFrame, key: Column, strata: str, total: int) -> DataFrame:
+    """About ``total`` rows, as many of each value of ``strata``, picked by a hash of ``key``; every value takes part.
 
-    Counts are of all rows; the ``max_strata`` most frequent values take part. The pick is by hash threshold, so
-    it is the same in every run and needs no sort; a stratum with fewer rows is taken whole.
+    Counts are of all rows. The pick is by hash threshold, so it is the same in every run and needs no sort; a stratum
+    with fewer rows is taken whole, and of each the rows of the least hash are taken, so that none is left out where
+    there are more values than ``total``. The table of thresholds has a row a value: callers fit a model with a class a value.
     """
-    counts = labelled.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(max_strata).collect()
-    space, each = 1 << 30, total / max(1, len(counts))
-    pick = F.lit(False)
-    draw = F.pmod(F.xxhash64(key.cast("string"), F.lit("draw")), F.lit(space))
-    for r in counts:
-        below = min(space, int(space * each / r["count"]))
-        pick = pick | ((F.col(strata) == F.lit(r[strata])) & (draw < below))
-    return labelled.filter(pick)
+    space = 1 << 30
+    drawn = labelled.withColumn("_draw", F.pmod(F.xxhash64(key.cast("string"), F.lit("draw")), F.lit(space)))
+    counts = drawn.groupBy(F.col(strata).alias("_stratum")).agg(F.count("*").alias("n"), F.min("_draw").alias("least")).collect()
+    each = total / max(1, len(counts))
+    kind = labelled.schema[strata].dataType.simpleString()
+    limits = labelled.sparkSession.createDataFrame([(r["_stratum"], max(min(space, int(space * each / r["n"])), r["least"] + 1)) for r in counts], f"_stratum {kind}, _below long")
+    return drawn.join(F.broadcast(limits), F.col(strata) == F.col("_stratum")).filter("_draw < _below").select(*(F.col(f"`{c}`") for c in labelled.columns))

@@ -7,7 +7,7 @@ hashed n-grams, so kernel values against all landmarks are one matrix product a
 them, landmark rows and weights are multiplied beforehand, and a batch is scored by one product with a matrix of
 n-grams by languages.
 
-Fitted on a bounded sample (``sample_docs`` labelled documents, as many a language, by hash; the 64 most frequent languages);
+Fitted on a bounded sample (``sample_docs`` labelled documents, as many a language and one at least, by hash);
 everything is deterministic. Letters are lower-cased (ASCII and Latin-1), all else but letters counts as space.
 
 Cases: null text or text without a letter: ``und``, score 0; one-letter and very long texts are scored whole; repeated
