@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-The patterns give the base spans. Besides, every maximal run of token signs that is long enough, has a letter and a
-digit and touches no base span is scored: two order-1 Markov models over characters, one
-trained on random strings, one on ordinary identifiers, give a log-likelihood ratio a character; above a fixed
-threshold the run is a secret of kind ``random``.
+The patterns give the base spans. Besides, two order-1 Markov models over characters, one trained on random strings,
+one on ordinary identifiers, give a log-likelihood ratio a transition. A stretch of a run of token signs is a secret of
+kind ``random`` if its ratios, less a fixed threshold each, add up to ``EVIDENCE`` or more: so neither a path before a
+secret nor a sign after = thins it out, and neither length nor digits are asked for. The stretch is widened to the next
+``/`` or ``=`` or the end of the run. A whole run of 20 signs with a letter and a digit needs a mean above the threshold
+only. Spans that touch a base span are left out.
 
 Labelled samples: random strings of the usual alphabets from a seeded generator (label secret), and identifiers made
 of the words of a bounded sample of documents, joined in the usual ways (label ordinary); ``train`` takes any others.
@@ -39,6 +41,8 @@ _ACCESS = re.compile(BASE[1][1])
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Nats above the threshold that a stretch needs.
+EVIDENCE = 13.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -62,6 +66,8 @@ class Markov:
 
     def __init__(self, secret: Iterable[str], ordinary: Iterable[str]):
         self.ratio = self._fit(secret) - self._fit(ordinary)
+        #: By code, the last one for signs that are none of a token's.
+        self.padded = np.pad(self.ratio, (0, 1))
 
     @staticmethod
     def _fit(strings: Iterable[str]) -> np.ndarray:
@@ -122,6 +128,48 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 400, strings:
     return Markov(random_strings(strings), identifiers(words, strings))
 
 
+def stretches(text: str, model: Markov, threshold: float) -> list[tuple[int, int]]:
+    """Stretches of token runs whose ratios above the threshold add up to EVIDENCE, widened to / or = or the run's end.
+
+    A transition that speaks for a secret counts once a stretch: said again it is no further evidence (``xxxx``)."""
+    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    c = _CODE[raw]
+    inside = c >= 0
+    both = inside[:-1] & inside[1:]
+    gain = np.where(both, model.padded[c[:-1], c[1:]] - threshold, 0.0)
+    edge = np.flatnonzero(np.diff(np.r_[False, both, False]))
+    starts, ends = edge[::2], edge[1::2]  # transitions of each run
+    if not len(starts):
+        return []
+    up = np.r_[0.0, np.cumsum(np.maximum(gain, 0))]
+    out = []
+    for k in np.flatnonzero(up[ends] - up[starts] >= EVIDENCE - 1e-6):
+        a, b = int(starts[k]), int(ends[k])
+        total, best, first, last = 0.0, 0.0, a, a
+        found, seen = [], set()
+        for i, g in enumerate([*gain[a:b].tolist(), -math.inf], a):
+            step = text[i : i + 2]
+            if g > 0 and step in seen:
+                continue
+            seen.add(step)
+            total += g
+            if total > best:
+                best, last = total, i
+            if total <= 0 or best - total >= EVIDENCE:
+                if best >= EVIDENCE:
+                    found.append((first, last + 2))
+                total, best, first, seen = 0.0, 0.0, i + 1, set()
+        for s, e in found:
+            while s > a and text[s - 1] not in "/=":
+                s -= 1
+            while e < b + 1 and text[e] not in "/=":
+                e += 1
+            if out and s <= out[-1][1]:
+                s, e = out[-1][0], max(e, out.pop()[1])
+            out.append((s, e))
+    return out
+
+
 def all_spans(text: str, model: Markov, threshold: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and base and model spans together, each by start."""
     base = base_spans(text)
@@ -134,6 +182,10 @@ def all_spans(text: str, model: Markov, threshold: float) -> tuple[list[tuple[in
             continue
         if model.score(token) > threshold:
             more.append((m.start(), m.end(), "random"))
+    whole = more[:]
+    for a, b in stretches(text, model, threshold):
+        if not any(s < b and a < e for s, e, _ in base) and not any(s < b and a < e for s, e, _ in whole):
+            more.append((a, b, "random"))
     return base, sorted(base + more, key=lambda x: x[0]) if more else base
 
 
