@@ -18,6 +18,11 @@ def _items(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return table(spark, sf_dir, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of searches: test items whose id is divisible by 50."""
+    return table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), "text")
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
@@ -86,8 +91,12 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str, n: int, k: int) -> DataFrame:
-    lex = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), _items(spark, sf_dir, n)), 20)
-    den = lexical.top_k(dense.cosine_scores(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir, n)), 20)
+    return _fuse(spark, sf_dir, _items(spark, sf_dir, n), _vector_queries(spark, sf_dir, n), k)
+
+
+def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    lex = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 20)
+    den = lexical.top_k(dense.cosine_scores(_vectors(spark, sf_dir), vectors), 20)
     out = fusion.reciprocal_rank_fusion(lex, den, k)
     return out.select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("bigint"), F.col("dense_rank").cast("bigint"), "retrieval_source")
 
@@ -163,7 +172,11 @@ SELECT query_id, chunk_id, pos, pre_rerank_score, relevance, support, CAST(relev
 
 @query(RERANK_SQL)
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), _items(spark, sf_dir, 10)), 12).withColumnRenamed("rank", "pos")
+    return _reranked(spark, sf_dir, _items(spark, sf_dir, 10))
+
+
+def _reranked(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 12).withColumnRenamed("rank", "pos")
     support = F.when(F.col("chunk_id") % 3 == 0, "direct").when(F.col("chunk_id") % 3 == 1, "related").otherwise("none")
     verdicts = hits.select("query_id", "chunk_id", F.col("pos").alias("verdict_pos"), ((F.col("chunk_id") * 37 + F.col("query_id")) % 101).cast("int").alias("relevance"), support.alias("support"), F.lit("stated").alias("reason"))
     out = fusion.apply_rerank(hits, verdicts, 6)
@@ -187,9 +200,55 @@ FROM e
 
 @query(EVAL_SQL)
 def eval_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir, 20)
+    return _evaluated(spark, sf_dir, _items(spark, sf_dir, 20))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 6).select("query_id", "chunk_id", F.col("rank").alias("pos"), F.col("chunk_id").alias("record_id"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("body"))
     relevant = docs.join(F.broadcast(items), F.contains("body", F.col("text"))).select("query_id", "record_id", F.lit("expected").alias("kind"))
     cases = items.select("query_id", F.lit(False).alias("negative"), F.lit(None).cast("string").alias("max_proficiency"))
     return evals.suite(evals.cases(cases, relevant, hits, 6))
+
+
+# Below: the same over whole query sets, without SQL; the queries above keep the sets that their SQL has.
+
+
+@query()
+def eval_mrr_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item is a case."""
+    return _evaluated(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+@query()
+def lexical_tfidf_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
+
+
+@query()
+def lexical_raw_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(lexical.raw_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)), 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def dense_cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(dense.cosine_scores(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
+
+
+@query()
+def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 8)
+
+
+@query()
+def rrf_batch_queries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
+
+
+@query()
+def rerank_apply_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir, _asked(spark, sf_dir))
