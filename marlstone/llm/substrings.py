@@ -4,8 +4,10 @@ Anchors come from a difference cover: a set of residues modulo a period v such t
 difference of two of them. If windows of L words at i and j are equal, some shift d < v puts both i + d and j + d at
 cover residues, so the two share an anchor (the w words there, v + w - 1 <= L) although each document samples its
 positions on its own. Only anchors, about a quarter of all positions, are exchanged for all text. Around each anchor
-that occurs twice the match is extended: the windows containing it are hashed at full length (96 bits) and exchanged,
-and those that occur twice are repeated. An anchor's 64-bit collision only adds candidates.
+that occurs twice the match is extended: the windows containing it are hashed at full length and exchanged, and those
+that occur twice are repeated. An anchor's 64-bit collision only adds candidates. A window is told by 128 bits, two
+hashes over two independent random hashes of its words: two windows that differ agree in both with a probability below
+2**-90, whatever their words.
 
 Physical plan. Documents are dealt once to shards of bounded size by a row number; every step works a shard at a time
 and the three uses of the dealt documents share that exchange. What a shard asks about goes out as one packed row for
@@ -35,6 +37,9 @@ from .textscan import STEP, U, Words, gram_hash, hash_words, mix, pieces, texts,
 #: Perfect difference covers, period to residues.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
+#: Step of the second hash of a window.
+SECOND = U(0xC2B2AE3D27D4EB4F)
+
 ASK = "bucket bigint, shard bigint, hashes binary, tails binary, places binary, many binary, known binary"
 ANSWER = "shard bigint, places binary"
 
@@ -66,6 +71,15 @@ class _Shard:
         self.hashes = join(hashes, U)
         self.words = Words(join(starts, np.int64), join(ends, np.int64), np.concatenate(firsts))
 
+    def second(self, marked: np.ndarray) -> np.ndarray:
+        """Hashes of another family for marked words, zero for the others."""
+        out = np.zeros(len(self.hashes), U)
+        for a in range(0, len(out), 1 << 16):
+            at = a + np.flatnonzero(marked[a : a + (1 << 16)])
+            if len(at):
+                out[at] = hash_words(self.text.data, Words(self.words.starts[at], self.words.ends[at], self.words.first), 1)
+        return out
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places at which n words of one row begin, and the hash there."""
         at = np.flatnonzero(whole(self.words, n))
@@ -104,9 +118,9 @@ def _answer(table: pa.Table) -> pa.Table:
     places that shards already knew."""
     read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
     hashes, places, many, known = read("hashes", U), read("places", np.uint32), read("many", bool), table.column("known").to_pylist()
-    tails, shards = read("tails", np.uint32), table.column("shard").to_pylist()
+    tails, shards = read("tails", U), table.column("shard").to_pylist()
     h, here = np.concatenate(hashes), np.concatenate(many)
-    t = np.concatenate(tails) if sum(map(len, tails)) else np.zeros(len(h), np.uint32)
+    t = np.concatenate(tails) if sum(map(len, tails)) else np.zeros(len(h), U)
     order = np.lexsort((t, h))
     h, t = h[order], t[order]
     first = np.ones(len(h), bool)
@@ -143,6 +157,14 @@ def _windows_at(anchors: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.cumsum(turn[:-1]) > 0
 
 
+def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Marks of the words that windows beginning at ``starts`` cover."""
+    turn = np.zeros(n + window, np.int64)
+    turn[starts] += 1
+    turn[starts + window] -= 1
+    return np.cumsum(turn)[:n] > 0
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, shard_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, spans (word ranges removed, begin and
     end in turn) and, with ``keep_text``, kept (the words that stay, joined by one space)."""
@@ -170,7 +192,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         s = _Shard(table)
         at, h = s.grams(window)
         on = _windows_at(_placed(answers, len(s.hashes)), window, anchor)[at]
-        tail = (gram_hash(mix(s.hashes ^ STEP), window)[at[on]] >> U(32)).astype(np.uint32)
+        tail = gram_hash(s.second(_covered(at[on], len(s.hashes), window)), window, SECOND)[at[on]]
         return _ask(table.column("shard")[0].as_py(), at[on], h[on], buckets, tail)
 
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -179,14 +201,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def kept_of(table: pa.Table, answers: pa.Table) -> pa.Table:
         s = _Shard(table)
         w = s.words
-        starts = _placed(answers, len(s.hashes))
-        gone = np.zeros(len(starts), bool)
-        if starts.any():
-            turn = np.zeros(len(starts) + window, np.int64)
-            at = np.flatnonzero(starts)
-            turn[at] += 1
-            turn[at + window] -= 1
-            gone = np.cumsum(turn)[: len(starts)] > 0
+        gone = _covered(np.flatnonzero(_placed(answers, len(s.hashes))), len(s.hashes), window)
         cols: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "spans", "kept")}
         data = s.text.data
         for d in range(len(w.first) - 1):

@@ -16,11 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes hashed at a time; the powers below are tabulated so far.
+#: Bytes hashed at a time.
 BLOCK = 1 << 17
-#: Words above this many bytes are hashed by BLAKE2 instead of the polynomial.
+#: Words above this many bytes are hashed by BLAKE2 instead.
 LONG_WORD = 1 << 14
-BASE = 0x9E3779B97F4A7C15
 STEP = U(0xD6E8FEB86659FD93)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -127,46 +126,50 @@ def class_runs(t: Texts) -> Words:
 
 
 @functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = BLOCK + LONG_WORD + 2
-    inverse = pow(BASE, -1, 1 << 64)
-    up, down = np.full(n, BASE, U), np.full(n, inverse, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def _multipliers(family: int) -> np.ndarray:
+    """A random 64-bit number for each place in a word; families are independent of each other."""
+    return np.random.default_rng([0x6D61726C, family]).integers(0, 1 << 64, LONG_WORD + 1, dtype=U)
 
 
-def hash_words(data: np.ndarray, w: Words) -> np.ndarray:
-    """64-bit hash of each word's bytes; equal words hash alike everywhere."""
+def hash_words(data: np.ndarray, w: Words, family: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes; equal words hash alike everywhere.
+
+    Multilinear: the sum of each byte times a random number for its place, modulo 2**64. Of two words that differ, the
+    sums agree with probability 2**-57 at most over the draw of the numbers, whatever the words (a polynomial modulo
+    2**64 has fixed pairs that always agree). ``family`` picks other numbers: hashes of two families are independent.
+    """
     starts, ends = w.starts, w.ends
     out = np.empty(len(starts), U)
-    up, down = _powers()
+    times = _multipliers(family)
     at = 0
     while at < len(starts):
         s0 = starts[at]
         if ends[at] - s0 > LONG_WORD:
-            out[at] = int.from_bytes(hashlib.blake2b(data[s0 : ends[at]].tobytes(), digest_size=8).digest(), "little")
+            out[at] = int.from_bytes(hashlib.blake2b(data[s0 : ends[at]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
             at += 1
             continue
         to = max(at + 1, int(np.searchsorted(starts, s0 + BLOCK, side="left")))
         if (big := np.flatnonzero(ends[at:to] - starts[at:to] > LONG_WORD)).size:
             to = at + int(big[0])
         e1 = ends[to - 1]
+        a, b = starts[at:to] - s0, ends[at:to] - s0
+        place = np.arange(e1 - s0)
+        place -= np.repeat(a, np.diff(np.r_[a, e1 - s0]))
         piece = data[s0:e1].astype(U)
         piece += U(1)
-        piece *= up[: len(piece)]
+        piece *= times[np.minimum(place, LONG_WORD, out=place)]  # places of separators are not summed
         sums = np.zeros(len(piece) + 1, U)
         np.cumsum(piece, out=sums[1:])
-        a = starts[at:to] - s0
-        out[at:to] = mix((sums[ends[at:to] - s0] - sums[a]) * down[a] + (ends[at:to] - starts[at:to]).astype(U))
+        out[at:to] = mix(sums[b] - sums[a] + (b - a).astype(U) * STEP)
         at = to
     return out
 
 
-def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive entries, by doubling: log2(n) passes."""
+def gram_hash(h: np.ndarray, n: int, step: np.uint64 = STEP) -> np.ndarray:
+    """Hash of each n consecutive entries, by doubling: log2(n) passes. ``step`` (odd) picks the polynomial."""
     if len(h) < n:
         return np.zeros(0, U)
-    out, have, power, wide, step = None, 0, h, 1, STEP
+    out, have, power, wide = None, 0, h, 1
     with np.errstate(over="ignore"):
         while True:
             if n & wide:

@@ -53,6 +53,15 @@ def test_substrings(spark, window):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_substrings_tell_thue_morse_words_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1 << 11)]
+    pair = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    common = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join([*common, x])) for i, x in enumerate(pair)]
+    assert [r["n_removed"] for r in substrings.repeated_passages(docs(spark, rows)).collect()] == [0, 0]
+    assert [r["n_removed"] for r in substrings.repeated_passages(docs(spark, rows[:1] * 2)).collect()] == [35, 35]
+
+
 def test_covers():
     assert all(substrings.is_cover(v, r) for v, r in substrings.COVERS.items())
     assert substrings.period_for(35) == 21 and substrings.period_for(3) == 1

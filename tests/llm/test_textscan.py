@@ -44,3 +44,18 @@ def test_pieces_agree_with_whole():
     whole = T.hash_words(t.data, T.words(t))
     split = np.concatenate([T.hash_words(p.data, T.words(p)) for _, _, p in T.pieces(t, 20)])
     assert (whole == split).all()
+
+
+def thue_morse(k: int) -> tuple[str, str]:
+    """Two words of 2**k letters that every polynomial hash modulo 2**64 confuses from k = 10 or 11 on."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_do_not_confuse_thue_morse_words():
+    pair = thue_morse(12)
+    t = T.texts(pa.array([" ".join(pair)]))
+    for family in (0, 1):
+        a, b = T.hash_words(t.data, T.words(t), family)
+        assert a != b
+    assert T.hash_words(t.data, T.words(t), 0)[0] != T.hash_words(t.data, T.words(t), 1)[0]
