@@ -10,8 +10,14 @@ n-grams by languages.
 Fitted on a bounded sample (``sample_docs`` labelled documents, as many a language and one at least, by hash);
 everything is deterministic. Letters are lower-cased (ASCII and Latin-1), all else but letters counts as space.
 
+``keep_identified`` acts on the verdict. It rejects a text in no language (``und``), a text whose language is not asked
+for, and a text that no classifier claims: each of the one-versus-rest regressions aims at 1 for its own language and
+at -1 for the rest, so a text in a language that was not learnt, or in none, has values near the intercepts, below
+``claim`` for all. Texts of fewer than ``least_grams`` distinct n-grams (some 20 letters) are too short for that, they stay.
+
 Cases: null text or text without a letter: ``und``, score 0; one-letter and very long texts are scored whole; repeated
-rows each get a row; null ids are carried; if no labelled row exists, all are ``und``; other columns are ignored.
+rows each get a row; null ids are carried; if no labelled row exists, all are ``und`` and ``keep_identified`` rejects
+nothing, as nothing can be identified; with one language every text with a letter is in it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,10 +111,10 @@ class Model:
         self.matrix = (mark.T @ (root @ w[:-1]).astype(np.float32)).astype(np.float32)
         self.sharp = 4.0
 
-    def score(self, t: Texts) -> tuple[list[str], np.ndarray]:
-        """The language of each row and its probability."""
+    def judge(self, t: Texts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row the language, its probability, the value of its classifier and the number of n-grams present."""
         langs: list[str] = []
-        scores: list[np.ndarray] = []
+        scores, claims, grams = [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
         for _, _, part in pieces(t, 1 << 19):
             n = len(part.offsets) - 1
             for a in range(0, n, 256):
@@ -117,16 +123,23 @@ class Model:
                 letter = has_letter(sub)
                 if not self.langs:
                     langs += [UND] * len(letter)
-                    scores.append(np.zeros(len(letter)))
+                    for column in (scores, claims, grams):
+                        column.append(np.zeros(len(letter)))
                     continue
                 x = presence(sub).astype(np.float32)
-                f = (x @ self.matrix) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)) + self.bias
+                many = x.sum(axis=1)
+                f = (x @ self.matrix) / np.sqrt(np.maximum(many, 1))[:, None] + self.bias
                 e = np.exp(self.sharp * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
                 best = f.argmax(axis=1)
-                p = 1.0 / e.sum(axis=1)
                 langs += [self.langs[j] if ok else UND for j, ok in zip(best, letter, strict=True)]
-                scores.append(np.where(letter, p, 0.0))
-        return langs, np.concatenate(scores) if scores else np.zeros(0)
+                scores.append(np.where(letter, 1.0 / e.sum(axis=1), 0.0))
+                claims.append(f.max(axis=1).astype(np.float64))
+                grams.append(many.astype(np.float64))
+        return langs, np.concatenate(scores), np.concatenate(claims), np.concatenate(grams)
+
+    def score(self, t: Texts) -> tuple[list[str], np.ndarray]:
+        """The language of each row and its probability."""
+        return self.judge(t)[:2]
 
 
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 1200, landmarks: int = 400) -> Model:
@@ -167,15 +180,20 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return left.mapInArrow(run, f"doc_id {left.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without rows in no language (``und``) or scored below ``least``; columns and their order stay."""
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", languages: set[str] | None = None, claim: float = -0.2, least_grams: int = 64) -> DataFrame:
+    """``docs`` without the rows that are rejected: in no language, in none of ``languages`` (all learnt ones if not
+    given), or claimed by no classifier. Columns and their order stay. A model without languages rejects nothing."""
+    if not model.langs:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    wanted = set(model.langs if languages is None else languages)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = shared.value.score(texts(b.column(place)))
-            yield b.filter(pa.array([x != UND and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, _, claims, grams = shared.value.judge(texts(b.column(place)))
+            known = np.fromiter((x in wanted for x in langs), bool, len(langs))
+            yield b.filter(pa.array(known & ((claims >= claim) | (grams < least_grams))))
 
     return docs.mapInArrow(run, docs.schema)
 
