@@ -158,10 +158,17 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
+def held(x, t):
+    """Shingles of item x, and how many of them text t has; an item of fewer than five words is one shingle."""
+    n = min(5, len(words(x))) or 5
+    cut = lambda y: {tuple(w[i : i + n]) for w in [words("".join(c.lower() if "A" <= c <= "Z" else c for c in y or ""))] for i in range(len(w) - n + 1)}
+    return len(cut(x)), len(cut(x) & cut(t))
+
+
 def test_containment(spark):
     draw = random.Random(4)
     vocab = [f"v{i}" for i in range(60)]
-    items = [(i, " ".join(draw.choices(vocab, k=k))) for i, k in enumerate([5, 6, 9, 20, 40, 41, 90, 200, 4, 0])] + [(20, None), (21, ""), (3, "Dup " + " ".join(draw.choices(vocab, k=30)))]
+    items = [(i, " ".join(draw.choices(vocab, k=k))) for i, k in enumerate([5, 6, 9, 20, 40, 41, 90, 200, 4, 0])] + [(20, None), (21, ""), (30, "only"), (31, "V1  v2"), (32, "v7 v8 V9 v8"), (None, "Only here"), (3, "Dup " + " ".join(draw.choices(vocab, k=30)))]
     rows = [(i, " ".join(draw.choices(vocab, k=300))) for i in range(10)]
     for i, t in items[:8]:
         w = (t or "").split()
@@ -169,19 +176,19 @@ def test_containment(spark):
             rows.append((50 + i, rows[0][1] + " \n " + "\t".join(w[cut:]).upper() + " tail"))
             half = len(w) // 2
             rows.append((70 + i, " ".join(w[:half]) + " gap " * cut + " ".join(w[half:])))
-    rows += [(None, items[5][1]), (99, None), (98, "")]
+    rows += [(None, items[5][1]), (99, None), (98, ""), (96, "v7"), (95, "and v7 v8\tv9 v8"), (94, "ONLY\nhere"), (93, items[8][1] + " x")]
     want = []
     for d, t in rows:
-        s = shingles(t)
         for i, x in items:
-            n = shingles(x)
-            if n and len(n & s) / len(n) >= 0.8:
-                want.append((str(d), i, len(n), len(n & s)))
+            n, k = held(x, t)
+            if n and k / n >= 0.8:
+                want.append((str(d), str(i), n, k))
+    assert {"30", "31", "32", "None", "8"} <= {w[1] for w in want}
     it = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contained_items(docs(spark, rows), it, block_bytes=600).collect()
-    assert sorted((str(r["doc_id"]), r["item_id"], r["item_shingles"], r["shared_shingles"]) for r in got) == sorted(want) and len(want) > 15
+    assert sorted((str(r["doc_id"]), str(r["item_id"]), r["item_shingles"], r["shared_shingles"]) for r in got) == sorted(want) and len(want) > 15
     clean = decontaminate.drop_contaminated(docs(spark, rows), it, block_bytes=600)
-    bad = {i for i, (_, t) in enumerate(rows) if any(shingles(x) and len(shingles(x) & shingles(t)) / len(shingles(x)) >= 0.8 for _, x in items)}
+    bad = {i for i, (_, t) in enumerate(rows) if any(held(x, t)[0] and held(x, t)[1] / held(x, t)[0] >= 0.8 for _, x in items)}
     assert clean.count() == len(rows) - len(bad) and clean.columns == ["doc_id", "text", "fp", "row"]
     assert decontaminate.contained_items(docs(spark, []), it).count() == 0
     assert decontaminate.contained_items(docs(spark, rows), it.filter("false")).count() == 0
