@@ -3,12 +3,13 @@
 The patterns give the base spans. Besides, two order-1 Markov models over characters, one trained on random strings,
 one on ordinary identifiers, give a log-likelihood ratio a transition. A stretch of a run of token signs is a secret of
 kind ``random`` if its ratios, less a fixed threshold each, add up to ``EVIDENCE`` or more: so neither a path before a
-secret nor a sign after = thins it out, and neither length nor digits are asked for. The stretch is widened to the next
-``/`` or ``=`` or the end of the run. A whole run of 20 signs with a letter and a digit needs a mean above the threshold
-only. Spans that touch a base span are left out.
+secret nor a sign after = thins it out, and the models alone decide: no digit, no letter and no length of a run is
+asked for, but that a stretch has ``LEAST`` signs (a single rare word of five letters can be as unlikely as a key). The
+stretch is widened to the next ``/`` or ``=`` or the end of the run. Spans that touch a base span are left out.
 
 Labelled samples: random strings of the usual alphabets from a seeded generator (label secret), and identifiers made
-of the words of a bounded sample of documents, joined in the usual ways (label ordinary); ``train`` takes any others.
+of the words of a bounded sample of documents, joined in the usual ways, half of them also in capitals (label
+ordinary); ``train`` takes any others.
 
 Cases: null counts as empty text and has no span; very long texts are scanned whole; positions are code points;
 repeated rows each give a row; a null id is carried; other columns are kept by ``redact`` and ignored by ``scan``.
@@ -40,9 +41,8 @@ _ACCESS = re.compile(BASE[1][1])
 #: A run of hex signs counts from 16 on; runs are maximal either way.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Nats above the threshold that a stretch needs.
-EVIDENCE = 13.0
+#: Nats above the threshold that a stretch needs, and signs.
+EVIDENCE, LEAST = 12.0, 8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -86,9 +86,10 @@ class Markov:
 
 
 def random_strings(n: int, seed: int = 7) -> list[str]:
-    """Labelled secret: uniform strings over hex, base-36, base-62 and URL-safe alphabets."""
+    """Labelled secret: uniform strings over hex, base-36, base-62 and URL-safe alphabets, and over letters."""
     draw = random.Random(seed)
-    kinds = ("0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", ALPHABET[:62], ALPHABET[:62] + "-_", ALPHABET[:62] + "+/", ALPHABET[:26] + ALPHABET[52:62])
+    upper, lower, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+    kinds = (digits + "abcdef", digits + lower, digits + upper, ALPHABET[:62], ALPHABET[:62] + "-_", ALPHABET[:62] + "+/", upper, lower, upper + lower)
     return ["".join(draw.choices(kinds[i % len(kinds)], k=draw.randint(20, 48))) for i in range(n)]
 
 
@@ -125,7 +126,8 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 400, strings:
     rows = bounded_sample(one, F.col("t"), "stratum", sample_docs)
     lists = rows.select(F.sort_array(F.slice(F.array_distinct(F.regexp_extract_all("t", F.lit("(?<![A-Za-z])([A-Za-z]{2,20})(?![A-Za-z])"), F.lit(1))), 1, 200)).alias("w"))
     words = sorted({w for r in lists.toLocalIterator() for w in r["w"]})
-    return Markov(random_strings(strings), identifiers(words, strings))
+    known = identifiers(words, strings)
+    return Markov(random_strings(strings), known + [s.upper() for s in known[::2]])
 
 
 def stretches(text: str, model: Markov, threshold: float) -> list[tuple[int, int]]:
@@ -156,7 +158,7 @@ def stretches(text: str, model: Markov, threshold: float) -> list[tuple[int, int
             if total > best:
                 best, last = total, i
             if total <= 0 or best - total >= EVIDENCE:
-                if best >= EVIDENCE:
+                if best >= EVIDENCE and last + 2 - first >= LEAST:
                     found.append((first, last + 2))
                 total, best, first, seen = 0.0, 0.0, i + 1, set()
         for s, e in found:
@@ -172,19 +174,13 @@ def stretches(text: str, model: Markov, threshold: float) -> list[tuple[int, int
 
 def all_spans(text: str, model: Markov, threshold: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and base and model spans together, each by start."""
-    base = base_spans(text)
-    more = []
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        if model.score(token) > threshold:
-            more.append((m.start(), m.end(), "random"))
-    whole = more[:]
+    base, more = base_spans(text), []
+    reach, at = 0, 0  # base spans may overlap: the furthest end of those that begin before a stretch ends
     for a, b in stretches(text, model, threshold):
-        if not any(s < b and a < e for s, e, _ in base) and not any(s < b and a < e for s, e, _ in whole):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= a:
             more.append((a, b, "random"))
     return base, sorted(base + more, key=lambda x: x[0]) if more else base
 

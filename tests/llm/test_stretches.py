@@ -13,12 +13,13 @@ LETTERS = string.ascii_letters
 
 @pytest.fixture(scope="module")
 def model():
-    return secrets.Markov(secrets.random_strings(6000), secrets.identifiers(WORDS, 6000))
+    known = secrets.identifiers(WORDS, 6000)
+    return secrets.Markov(secrets.random_strings(6000), known + [s.upper() for s in known[::2]])
 
 
 @pytest.mark.parametrize(
     ("before", "signs", "n"),
-    [("", LETTERS + string.digits, 16), ("", string.ascii_lowercase, 32), ("src/house/water/tree/", LETTERS + string.digits, 24), ("house/water/tree/table=", LETTERS + string.digits, 32)],
+    [("", LETTERS + string.digits, 12), ("", LETTERS + string.digits, 16), ("", string.ascii_lowercase, 16), ("", string.ascii_uppercase, 16), ("", string.digits + string.ascii_lowercase, 12), ("", string.digits + "ABCDEF", 32), ("", string.ascii_lowercase, 32), ("src/house/water/tree/", LETTERS + string.digits, 24), ("house/water/tree/table=", LETTERS + string.digits, 32)],
 )
 def test_found_in_its_setting(model, before, signs, n):
     draw = random.Random(n)
@@ -40,3 +41,19 @@ def test_ordinary_text_is_left_alone(model):
         assert not secrets.stretches(x, model, 0.5)
     assert not secrets.stretches(" ".join(draw.choices([w for w in WORDS if w.isascii()], k=400)), model, 0.5)
     assert not secrets.stretches("", model, 0.5) and not secrets.stretches("a", model, 0.5)
+
+
+def test_spans_against_every_pair(model):
+    draw = random.Random(7)
+    text = " ".join(draw.choice((draw.choice(WORDS), "".join(draw.choices(LETTERS + string.digits, k=24)), "token=" + "".join(draw.choices(LETTERS, k=20)), "".join(draw.choices("0123456789abcdef", k=40)))) for _ in range(400))
+    base, spans = secrets.all_spans(text, model, 0.5)
+    found = secrets.stretches(text, model, 0.5)
+    want = [(a, b, "random") for a, b in found if not any(s < b and a < e for s, e, _ in base)]
+    assert sorted(spans) == sorted(base + want) and len(base) > 150 and len(want) > 50
+    assert [s for s, _, _ in spans] == sorted(s for s, _, _ in spans)
+
+
+def test_long_text_is_linear(model):
+    one = "see 0123456789abcdef0123 and house/water/kJ8sLq2ZpXv91TgHwRbN here "
+    base, spans = secrets.all_spans(one * 20_000, model, 0.5)
+    assert len(base) == 20_000 and len(spans) == 40_000
