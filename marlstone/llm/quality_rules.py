@@ -188,4 +188,4 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str, sample_docs: int = 3000)
     """The query: learns from labelled rows, judges all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(docs, train(labelled_sample(docs, labels, "quality", sample_docs)))
+    return judge(docs, train(labelled_sample(docs, labels, "quality", sample_docs, sample_bytes=16 << 20)))
