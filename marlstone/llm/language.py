@@ -154,7 +154,8 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                 bits = np.packbits(presence(part), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at).cast(pa.string()), b.column(2).slice(at, to - at), pa.array([r.tobytes() for r in bits], pa.binary())], names=["id", "lang", "bits"])
 
-    got = picked.select("doc_id", "text", "lang").mapInArrow(features, "id string, lang string, bits binary").toArrow()
+    once = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.text", "x.lang")  # an id may have any number of rows
+    got = once.mapInArrow(features, "id string, lang string, bits binary").toArrow()
     order = sorted(zip(got.column("id").to_pylist(), got.column("lang").to_pylist(), got.column("bits").to_pylist(), strict=True), key=lambda r: (r[0] or "", r[1], r[2]))
     order.sort(key=lambda r: hash_key(r[0] or ""))
     x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in order), np.uint8).reshape(len(order), -1), axis=1) if order else np.zeros((0, 1 << BITS), np.uint8)

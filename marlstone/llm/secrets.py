@@ -124,7 +124,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 400, strings:
     the first 200 words that consist of letters."""
     one = docs.select(F.col(text).cast("string").alias("t"), F.lit(0).alias("stratum")).filter("t is not null")
     rows = bounded_sample(one, F.col("t"), "stratum", sample_docs)
-    lists = rows.select(F.sort_array(F.slice(F.array_distinct(F.regexp_extract_all("t", F.lit("(?<![A-Za-z])([A-Za-z]{2,20})(?![A-Za-z])"), F.lit(1))), 1, 200)).alias("w"))
+    lists = rows.select(F.sort_array(F.slice(F.array_distinct(F.regexp_extract_all("t", F.lit("(?<![A-Za-z])([A-Za-z]{2,20})(?![A-Za-z])"), F.lit(1))), 1, 200)).alias("w")).distinct()  # a text may have any number of copies
     words = sorted({w for r in lists.toLocalIterator() for w in r["w"]})
     known = identifiers(words, strings)
     return Markov(random_strings(strings), known + [s.upper() for s in known[::2]])
