@@ -2,8 +2,11 @@
 
 Random indexing (Kanerva and others, 2000): each token has a fixed sparse index vector, a few signed places drawn by
 its hash; a token's context vector is the sum of the index vectors of its neighbours over the whole corpus. Tokens
-are runs of one kind of sign (letters, digits, others), hashed to 2**BITS rows, so the table has a fixed size (rows x
-DIM floats, 2 MB) whatever the corpus; each task sums its own documents and the partial tables are added up by row.
+are runs of one kind of sign (letters, digits, others). All are counted first, over the whole corpus: the most frequent
+ones, ``VOCABULARY`` at most, have a row of their own, told by a 64-bit hash; the rest share RARE rows by hash. So the
+table follows the vocabulary up to a fixed size, 18 MB of float32, that may be broadcast.
+Each task sums its own documents; the partial tables, in blocks of rows, are added up in two levels, so that a group holds
+about the root of the number of tasks. All sums are of whole numbers, so they do not depend on the order.
 A document is the mean of its tokens' unit vectors, beside the mean of their index vectors, which tells frequent signs
 apart; the lengths of both means and the share of tokens alike to the one before tell monotonous texts.
 
@@ -17,41 +20,104 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, written
 from .labelled import labelled_sample, ordered, sigmoid
 from .textscan import Texts, U, class_runs, hash_words, mix, pieces, texts
 
-BITS, DIM, NONZERO, SPAN = 13, 64, 2, 2
+VOCABULARY, RARE = 1 << 16, 1 << 12
+DIM, NONZERO, SPAN = 64, 2, 2
+#: Rows of the table that travel together.
+BLOCK = 64
+_TOP = 18
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the index vector of each row of the table."""
-    h = mix((np.arange(1 << BITS, dtype=U)[:, None] * U(NONZERO) + np.arange(NONZERO, dtype=U)) + U(0x51ED270B))
-    return (h % U(DIM)).astype(np.int64), np.where(h >> U(63), 1.0, -1.0)
+class Vocabulary:
+    """Row of each token: frequent ones by their place among the sorted hashes, others in one of the RARE rows after."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(U))
+        self.first = np.searchsorted(self.hashes >> U(64 - _TOP), np.arange((1 << _TOP) + 1, dtype=U))
+        self.most = int(np.diff(self.first).max(initial=0))
+        self.size = len(self.hashes) + RARE
+
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        out = len(self.hashes) + (h >> U(20)).astype(np.int64) % RARE
+        top = (h >> U(64 - _TOP)).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        for _ in range(self.most):
+            own = np.flatnonzero(at < end)
+            own = own[self.hashes[at[own]] == h[own]]
+            out[own] = at[own]
+            at = at + 1
+        return out
+
+    def index_vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and signs of the index vector of each row: a function of the token's hash, or of the number of a rare row."""
+        seeds = np.r_[self.hashes, np.arange(RARE, dtype=U)]
+        h = mix(mix(seeds)[:, None] * U(NONZERO) + np.arange(NONZERO, dtype=U) + U(0x51ED270B))
+        return (h % U(DIM)).astype(np.int64), np.where(h >> U(63), 1, -1).astype(np.int32)
 
 
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each token, and its hashed row in the table."""
+    """Row of each token, and its hash."""
     w = class_runs(t)
-    return w.rows(), (hash_words(t.data, w) >> U(64 - BITS)).astype(np.int64)
+    return w.rows(), hash_words(t.data, w)
+
 
+def vocabulary(docs: DataFrame, text: str = "text", most: int = VOCABULARY) -> tuple[Vocabulary, int]:
+    """The frequent tokens, counted over all documents, and the number of tasks that counted.
 
-def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The table of context vectors, summed over all documents. Fixed size: 2**BITS x DIM."""
+    Counts are cut at a bound below which too many tokens are, found from a histogram of them; nothing is sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        table = np.zeros((1 << BITS) * DIM)
+        kept, counts = np.zeros(0, U), np.zeros(0, np.int64)
+        for b in batches:
+            for _, _, part in pieces(texts(b.column(0)), 1 << 20):
+                own, many = np.unique(tokens(part)[1], return_counts=True)
+                both = np.concatenate([kept, own])
+                kept, at = np.unique(both, return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, many]), len(kept)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(kept.view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.r_[counts, 1])], names=["h", "n"])
+
+    part = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h bigint, n bigint")
+    counts = written(part.groupBy("h").agg(F.sum("n").alias("n")), "token-counts")
+    tasks = counts.filter("h is null").select("n").first()
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    histogram = sorted(((r["step"], r["m"]) for r in counts.filter("h is not null").groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    room, least = most, None
+    for at, m in histogram:
+        if m > room:
+            break
+        room, least = room - m, at
+    if least is None:
+        return Vocabulary(np.zeros(0, U)), tasks[0] if tasks else 0
+    got = counts.filter(F.col("h").isNotNull() & (step >= least)).select("h").toArrow()
+    return Vocabulary(got.column("h").to_numpy().view(U)), tasks[0]
+
+
+def context_sums(docs: DataFrame, known: Vocabulary, tasks: int = 1, text: str = "text") -> np.ndarray:
+    """The table of context vectors, summed over all documents: a row for each row of ``known``."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    salts = max(1, math.isqrt(tasks // 16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        places, signs = known.index_vectors()
+        table = np.zeros(-(-known.size // BLOCK) * BLOCK * DIM, np.int32)
         for b in batches:
             for _, _, part in pieces(texts(b.column(0)), 1 << 18):
-                rows, at = tokens(part)
+                rows, h = tokens(part)
+                at = known.rows(h)
                 for gap in range(1, SPAN + 1):
                     same = rows[:-gap] == rows[gap:] if len(rows) > gap else np.zeros(0, bool)
                     if not same.any():
@@ -61,41 +127,67 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
                         base = one * DIM
                         for k in range(NONZERO):
                             np.add.at(table, base + places[other, k], signs[other, k])
-        table = table.reshape(-1, DIM)
+        table = table.reshape(-1, BLOCK * DIM)
         own = np.flatnonzero(table.any(axis=1))
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([r.astype("<f8").tobytes() for r in table[own]], pa.binary())], names=["slot", "v"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x.as_buffer(), "<f8") for x in group.column("v")), np.zeros(DIM))
-        return pa.table({"slot": group.column("slot").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
-
-    part = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "slot bigint, v binary")
-    got = part.groupBy("slot").applyInArrow(add, "slot bigint, v binary").toArrow()
-    out = np.zeros((1 << BITS, DIM))
-    for slot, v in zip(got.column("slot").to_pylist(), got.column("v"), strict=True):
-        out[slot] = np.frombuffer(v.as_buffer(), "<f8")
-    return out
+        salt = TaskContext.get().partitionId() % salts
+        for a in range(0, len(own), 256):
+            some = own[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), salt), pa.int64()), pa.array([table[i].astype("<i4").tobytes() for i in some], pa.binary())], names=["block", "salt", "v"])
+
+    def adding(width: str):
+        def add(group: pa.Table) -> pa.Table:
+            total = np.zeros(BLOCK * DIM, "<i8")
+            for x in group.column("v"):
+                total += np.frombuffer(x.as_buffer(), width)
+            return pa.table({"block": group.column("block").slice(0, 1), "salt": group.column("salt").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+
+        return add
+
+    kind = "block bigint, salt bigint, v binary"
+    part = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, kind).groupBy("block", "salt").applyInArrow(adding("<i4"), kind)
+    if salts > 1:
+        part = part.groupBy("block").applyInArrow(adding("<i8"), kind)
+    got = part.toArrow()
+    out = np.zeros((-(-known.size // BLOCK), BLOCK * DIM))
+    for block, v in zip(got.column("block").to_pylist(), got.column("v"), strict=True):
+        out[block] = np.frombuffer(v.as_buffer(), "<i8")
+    return out.reshape(-1, DIM)[: known.size]
+
+
+class Vectors:
+    """The unit context vectors, sent; beside each the index vector, made anew by each worker."""
+
+    def __init__(self, known: Vocabulary, sums: np.ndarray):
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        self.known, self.unit, self.both = known, (sums / np.maximum(norm, 1e-12)).astype(np.float32), None
+
+    def __getstate__(self) -> dict:
+        return {"known": self.known, "unit": self.unit, "both": None}
+
+    def table(self) -> np.ndarray:
+        if self.both is None:
+            places, signs = self.known.index_vectors()
+            own = np.zeros_like(self.unit)
+            for k in range(NONZERO):
+                np.add.at(own, (np.arange(len(own)), places[:, k]), signs[:, k])
+            self.both = np.concatenate([self.unit, own], axis=1)
+        return self.both
 
 
-def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Unit context vectors beside index vectors, in float32."""
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    unit = (sums / np.maximum(norm, 1e-12)).astype(np.float32)
-    places, signs = index_vectors()
-    own = np.zeros((1 << BITS, DIM), np.float32)
-    for k in range(NONZERO):
-        np.add.at(own, (np.arange(1 << BITS), places[:, k]), signs[:, k])
-    return np.concatenate([unit, own], axis=1)
+def word_vectors(docs: DataFrame, text: str = "text", most: int = VOCABULARY) -> Vectors:
+    """Vocabulary, then context vectors, each from one pass over all documents."""
+    known, tasks = vocabulary(docs, text, most)
+    return Vectors(known, context_sums(docs, known, tasks, text))
 
 
 #: Numbers a document beside its mean vector.
 MORE = 4
 
 
-def pooled(t: Texts, vectors: np.ndarray) -> np.ndarray:
+def pooled(t: Texts, of: Vectors) -> np.ndarray:
     """Of each row: mean vector, log of the number of tokens, lengths of the two halves of the mean, share of repeats."""
-    rows, at = tokens(t)
+    rows, h = tokens(t)
+    at, vectors = of.known.rows(h), of.table()
     n, d = len(t.offsets) - 1, vectors.shape[1]
     out = np.zeros((n, d + MORE), np.float32)
     for x in range(0, len(at), 1 << 14):
@@ -104,7 +196,7 @@ def pooled(t: Texts, vectors: np.ndarray) -> np.ndarray:
         out[r[cuts], :d] += np.add.reduceat(vectors[at[x : x + (1 << 14)]], cuts, axis=0)
     many = np.bincount(rows, minlength=n)
     out[:, :d] /= np.maximum(many, 1)[:, None]
-    again = (at[1:] == at[:-1]) & (rows[1:] == rows[:-1])
+    again = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
     out[:, d] = np.log1p(many)
     out[:, d + 1] = np.linalg.norm(out[:, :DIM], axis=1)
     out[:, d + 2] = np.linalg.norm(out[:, DIM:d], axis=1)
@@ -156,7 +248,7 @@ class Network:
         return sigmoid(self._logit(np.clip((x - self.mean) / self.sd, -8, 8)) / self.temperature)
 
 
-def train(sample: DataFrame, vectors: np.ndarray) -> Network:
+def train(sample: DataFrame, vectors: Vectors) -> Network:
     """From ``(doc_id, text, y)``, a bounded sample; one pooled vector a document comes to the driver."""
     shared = sample.sparkSession.sparkContext.broadcast(vectors)
 
@@ -167,11 +259,11 @@ def train(sample: DataFrame, vectors: np.ndarray) -> Network:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, to - a).cast(pa.string()), b.column(2).slice(a, to - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
     got = ordered(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id string, y double, x binary").toArrow())
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, vectors.shape[1] + MORE)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + MORE)
     return Network(x, np.array(got.column("y").to_pylist(), float))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, network: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, vectors: Vectors, network: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     left = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -189,7 +281,7 @@ def op9_quality_net(spark: SparkSession, sf_dir: str, sample_docs: int = 8000) -
     """The query: word vectors from all texts, labels outside the held-out fold (remainder 0 of 5), all documents scored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    vectors = word_vectors(context_sums(docs))
+    vectors = word_vectors(docs)
     network = train(labelled_sample(docs, labels, "quality", sample_docs, fold_of(F.col("doc_id"), 5) != 0), vectors)
     out = score(docs, vectors, network)
     return out.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

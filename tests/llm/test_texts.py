@@ -151,28 +151,58 @@ def test_toxicity(spark):
     assert toxicity.score(df, empty).agg(F.max("score")).first()[0] < 1e-9
 
 
+def context_brute(rows, known):
+    """Counts of tokens, and context sums by a loop over neighbours."""
+    places, signs = known.index_vectors()
+    out = np.zeros((known.size, quality_net.DIM))
+    for t in rows:
+        _, h = quality_net.tokens(texts(pa.array([t], pa.string())))
+        at = known.rows(h).tolist()
+        for i, x in enumerate(at):
+            for j in range(max(0, i - quality_net.SPAN), min(len(at), i + quality_net.SPAN + 1)):
+                if i != j:
+                    for k in range(quality_net.NONZERO):
+                        out[x, places[at[j], k]] += signs[at[j], k]
+    return out
+
+
 def test_quality_net(spark):
-    rows = prose(7, 400, junk=True)
-    df = docs(spark, [(i, t) for i, t, _, _ in rows] + ODD)
-    labels = spark.createDataFrame([(i, y, 0) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
-    sums = quality_net.context_sums(df)
-    # Brute force: each token gets the index vectors of its neighbours up to SPAN away.
-    places, signs = quality_net.index_vectors()
-    want = np.zeros_like(sums)
-    for t in [t for _, t, _, _ in rows] + [t for _, t in ODD]:
-        _, at = quality_net.tokens(texts(pa.array([t], pa.string())))
-        for gap in (1, 2):
-            for a, b in zip(at[:-gap], at[gap:], strict=True):
-                np.add.at(want[a], places[b], signs[b])
-                np.add.at(want[b], places[a], signs[a])
-    assert np.array_equal(sums, want)
-    vectors = quality_net.word_vectors(sums)
+    made = prose(7, 400, junk=True)
+    rows = [(i, t) for i, t, _, _ in made] + ODD
+    df = docs(spark, rows)
+    labels = spark.createDataFrame([(i, y, 0) for i, _, _, y in made], "doc_id long, quality int, toxic int")
+    every = Counter(h for _, t in rows for h in quality_net.tokens(texts(pa.array([t], pa.string())))[1].tolist())
+    known, tasks = quality_net.vocabulary(df)
+    assert sorted(known.hashes.tolist()) == sorted(every) and tasks >= 1
+    few, _ = quality_net.vocabulary(df, most=20)
+    least = min(every[h] for h in few.hashes.tolist())
+    assert 0 < len(few.hashes) <= 20 and sum(n > least * 1.02 for n in every.values()) <= 20
+    h = np.array(sorted(every), np.uint64)
+    at = few.rows(h)
+    assert all((a < len(few.hashes)) == (x in set(few.hashes.tolist())) for a, x in zip(at.tolist(), h.tolist(), strict=True)) and at.max() < few.size
+    for some in (known, few):
+        assert (quality_net.context_sums(df, some) == context_brute([t for _, t in rows], some)).all()
+    assert (quality_net.context_sums(df.repartition(9), few, tasks=64) == context_brute([t for _, t in rows], few)).all()
+    vectors = quality_net.word_vectors(df)
     net = quality_net.train(labelled.labelled_sample(df, labels, "quality", 2000, common.fold_of(F.col("doc_id"), 5) != 0), vectors)
     got = {r["doc_id"]: r["score"] for r in quality_net.score(df, vectors, net).collect()}
-    held = [(got[i] >= 0.3) == bool(y) for i, _, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    held = [(got[i] >= 0.3) == bool(y) for i, _, _, y in made if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 50 and np.mean(held) > 0.95
     assert all(0 <= v <= 1 for v in got.values()) and got[900] == got[901]
+    # Pooling and the forward pass, a document at a time.
+    table = vectors.table()
+    for i, t in rows[:40]:
+        _, h = quality_net.tokens(texts(pa.array([t], pa.string())))
+        v = [table[k] for k in vectors.known.rows(h)]
+        mean = np.mean(v, axis=0) if len(v) else np.zeros(table.shape[1])
+        again = sum(x == y for x, y in zip(h.tolist(), h.tolist()[1:], strict=False))
+        x = np.r_[mean, np.log1p(len(v)), np.linalg.norm(mean[: quality_net.DIM]), np.linalg.norm(mean[quality_net.DIM :]), again / max(len(v), 1)]
+        z = np.clip((x - net.mean) / net.sd, -8, 8)
+        logit = float(np.tanh(z @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3][0])
+        assert abs(got[i] - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-4
     assert quality_net.Network(np.zeros((0, 4)), np.zeros(0)).probability(np.zeros((2, 4))).tolist() == [1.0, 1.0]
+    none = quality_net.word_vectors(df.filter("false"))
+    assert none.known.size == quality_net.RARE and quality_net.score(df.filter("false"), none, quality_net.train(labelled.labelled_sample(df.filter("false"), labels, "quality", 9), none)).count() == 0
 
 
 PAGES = [(1, "u", "a" * 1000), (5, "u\nv", "a" * 1000), (3, None, "a" * 1000), (2, "u", "b" * 999), (4, "u", "b" * 999), (6, "u", None), (7, "u", ""), (8, "u", "é" * 500), (9, "u", "é" * 500), (9, "u", "é" * 500), (None, "u", "c" * 2000), (10, "u", "\r\n\r\n" * 300), (11, "u", "漢" * 200000)]
