@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Code points that separate words: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,12 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is made and set.
+    Only where that setting is absent and the master is local (as in tests) a temporary folder is made and set; on a
+    cluster its absence is an error, as executors would each write to their own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set: on {master} it has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,6 +39,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], nulls_last: bool = False) -> DataFrame:
+    """``df`` with, for each of ``sums``, the total of that expression (a whole number) over all rows before this one.
+
+    Rows are dealt to ranges of ``order`` and written; each range is summed, the ranges' totals are added up in turn (a row a
+    range), and rows are put in order within their range only. Rows alike in ``order`` are in an order of their own.
+    """
+    keys = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc() for c in order]
+    dealt = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt.select("*", *(e.cast("long").alias(f"_of_{name}") for name, e in sums.items())), "ranges")
+    ranges = dealt.groupBy("_range").agg(*(F.sum(f"_of_{name}").alias(f"_all_{name}") for name in sums))
+    earlier = (Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(*earlier)
+    ranges = ranges.select("_range", *(F.coalesce(F.sum(f"_all_{name}").over(before), F.lit(0)).alias(f"_all_{name}") for name in sums))
+    within = Window.partitionBy("_range").orderBy(*keys).rowsBetween(*earlier)
+    out = dealt.withColumns({f"_in_{name}": F.coalesce(F.sum(f"_of_{name}").over(within), F.lit(0)) for name in sums}).join(ranges, "_range")
+    return out.select(*df.columns, *((F.col(f"_in_{name}") + F.col(f"_all_{name}")).alias(name) for name in sums))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: one scan of one column, used to size shards."""
     row = docs.agg(F.sum(F.octet_length(F.col(text)))).first()

@@ -6,7 +6,9 @@ not fit raises, with the archive's name and the record's number.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest id is the response and the others
 revisit it. Equality is that of SHA-256; the digests are counted with partial aggregation and joined back on the
-digest, where adaptive execution can split a digest that a large part of all pages has.
+digest, where adaptive execution can split a digest that a large part of all pages has. Shorter pages go past the join.
+A row is chosen by its id and URL, not by a number that two scans would have to agree on; only where rows alike in payload, id
+and URL compete for the response are those rows written, numbered there, and one is taken.
 
 Executors of a cluster share no local folder, so archives are kept as rows (name, bytes) of a Parquet table in the
 shared folder; ``read_files`` reads ordinary ``.warc.gz`` files from wherever Spark's binaryFile source can.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,16 +96,25 @@ def revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "html",
     """``(page_id, url, payload binary, revisit boolean, refers_to)``, a row for each row of ``pages``."""
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"),
-        F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary")).alias("payload"), F.monotonically_increasing_id().alias("row"),
-    )
-    keyed = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    best = (
-        keyed.select("key", "page_id", "row").filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("best"))
-        .filter("n > 1").select("key", F.col("best.page_id").alias("refers_to"), F.col("best.row").alias("best_row"))
+        F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary")).alias("payload"),
     )
+    long = F.octet_length("payload") >= least
+    keyed = rows.filter(long).withColumn("key", F.sha2("payload", 256))
+    alike = keyed.groupBy("key", "page_id", "url").agg(F.count("*").alias("n"))
+    best = alike.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", "url", F.col("n").alias("ties"))).alias("best")).filter("n > 1")
+    best = written(best.select("key", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("best_url"), F.col("best.ties").alias("ties")), "warc-best")
     met = keyed.join(best, "key", "left")
-    revisit = F.coalesce(F.col("row") != F.col("best_row"), F.lit(False))
-    return met.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
+    chosen = F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("url").eqNullSafe(F.col("best_url"))
+    tied = F.coalesce(chosen & (F.col("ties") > 1), F.lit(False))
+    out = ["page_id", "url", "payload", "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to")]
+    single = met.filter(~tied).withColumn("revisit", F.coalesce(~chosen & F.col("ties").isNotNull(), F.lit(False))).select(*out)
+    short = rows.filter(~long).select("page_id", "url", "payload", F.lit(False).alias("revisit"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("refers_to"))
+    parts = single.union(short)
+    if best.filter("ties > 1").isEmpty():
+        return parts
+    again = written(met.filter(tied).withColumn("row", F.monotonically_increasing_id()), "warc-alike")
+    first = again.groupBy("key").agg(F.min("row").alias("first"))
+    return parts.union(again.join(first, "key").withColumn("revisit", F.col("row") != F.col("first")).select(*out))
 
 
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = 2 << 20, date: str = "1970-01-01T00:00:00Z") -> None:
