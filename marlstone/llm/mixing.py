@@ -4,14 +4,14 @@ Sources, in code-point order with null last, weigh by a repeating pattern and sh
 ``most`` times its source's size; what is over goes to the others by weight until none is above. The closed form: with
 sources by rising cap a weight, the first k are capped, and the rest get the remaining words by weight.
 
-Each document gets a hash-random key. Whole epochs take a document as often; the last, partial epoch takes documents in
+Each document gets a hash-random key, of its id and its text, so that null or equal ids do not meet in one bucket. Whole epochs take a document as often; the last, partial epoch takes documents in
 key order up to the budget, cutting the one at the border. The prefix sums are distributed: within a source the key
 range is cut in buckets of about ``bucket_rows`` documents (keys are uniform, so buckets are alike), buckets are summed,
 their offsets come from two levels of running sums, and only then are documents of one bucket put in order. A source
 with a third of all rows is so spread over many tasks, and the order depends on nothing but keys.
 
 Cases: a null text has size 0; null, repeated ids and rows repeated whole are ordered by (key, id, size), which leaves
-only rows alike in all three exchangeable; a null source is a source of its own; an empty table gives no rows; a
+only rows alike in id and text exchangeable (they lie in one bucket); a null source is a source of its own; an empty table gives no rows; a
 source of size 0 has target 0; other columns are carried along unless their names clash with a column made here,
 which then wins.
 """
@@ -22,28 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, running_totals, written
 
 KEY_BITS = 52
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """``(source, source_size, n_docs)`` to the same with ``target``; one row a source, so a single ordering of them is small."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    w = sizes.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * most)
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    w = (
-        w.withColumn("total", F.sum("source_size").over(whole)).withColumn("weights", F.sum("weight").over(whole))
-        .withColumn("left_words", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_weight", F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("rate", F.col("left_words").cast("double") / F.col("left_weight").cast("double"))
-    )
+    """``(source, source_size, n_docs)`` to the same with ``target``. Sources are ranked and summed by running totals over
+    ranges of them, so there may be millions; only two totals and one rate come to the driver."""
+    ranked = running_totals(sizes, ["source"], {"rank": F.lit(1)}, nulls_last=True)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    w = ranked.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * most).withColumn("turn", F.col("cap") / F.col("weight"))
+    w = running_totals(w, ["turn", "source"], {"caps": F.col("cap"), "weights": F.col("weight")}, nulls_last=True)
+    total, everything = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    rate = F.lit(total or 0).cast("long") - F.col("caps")
+    w = w.withColumn("rate", rate.cast("double") / (F.lit(everything or 0).cast("long") - F.col("weights")).cast("double"))
     # The first source whose cap is above its share at the rate left by those before it: it and all after share at that rate.
-    free = F.min(F.when(F.col("rate") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "rate"))).over(whole)
-    target = F.least(F.col("cap").cast("double"), F.coalesce(free["rate"] * F.col("weight"), F.col("cap").cast("double")))
+    free = w.filter(F.col("rate") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("turn", "rate")).alias("free")).first()["free"]
+    capped = F.col("cap").cast("double")
+    target = capped if free is None else F.least(capped, F.lit(free["rate"]) * F.col("weight"))
     return w.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
@@ -55,7 +52,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *rest,
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 256), 1, KEY_BITS // 4), 16, 10).cast("long").alias("_key"),
+        F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))), 256), 1, KEY_BITS // 4), 16, 10).cast("long").alias("_key"),
     )
     thin = sized if carry else written(sized, "mix-sizes")
     totals = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
@@ -95,7 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) AS k
+         CAST(('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) AS k
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
