@@ -81,11 +81,11 @@ def clean_string(c: Column) -> Column:
 
 
 def distinct_by_case(items: Column) -> Column:
-    """Items in order, each once whatever its case; the first spelling stays."""
-    keys = F.array(F.transform(items, lambda y: F.lower(y)))
-    # The keys are bound once, as the element of an array of one.
-    first = F.transform(keys, lambda k: F.filter(items, lambda x, i: F.coalesce(F.array_position(k, F.get(k, i)) == i + 1, F.lit(False))))
-    return F.get(first, 0)
+    """Items in order, each once whatever its case; the first spelling stays. Sorted by key and place, so a long list takes n log n."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    # The sorted list is bound once, as the element of an array of one.
+    first = F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"])))
+    return F.transform(F.array_sort(F.transform(F.get(first, 0), lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])
 
 
 def clean_list(items: Column) -> Column:

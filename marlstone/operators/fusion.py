@@ -47,9 +47,36 @@ def named_title(query: Column, title: Column) -> Column:
     return (F.length(t) >= 2) & F.contains(search_text(query), t)
 
 
+def _inner(text: Column, ends: bool = False) -> Column:
+    """Distinct words of ``text``; with ``ends`` without the first and the last, which may be parts of longer words where it is contained."""
+    w = F.split(text, " ")
+    return F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))) if ends else w)
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(query_id, record_id)`` of ``docs(record_id, body)`` that contain the text of ``items(query_id, text)`` as it is.
+
+    Items of four words or more meet the documents on their rarest inner word, then containment decides; texts are split at
+    single spaces on both sides, so whatever contains the text holds each inner word as a word. Shorter items are held against all
+    documents, by a nested loop over those few items."""
+    said = items.withColumn("inner", _inner(F.col("text"), ends=True))
+    long, short = said.filter(F.size("inner") > 1), said.filter(F.size("inner") <= 1)
+    wanted = long.select("query_id", F.explode("inner").alias("w"))
+    words = docs.select("record_id", F.explode(_inner(F.col("body"))).alias("w")).join(wanted.select("w").distinct(), "w", "left_semi")
+    often = words.groupBy("w").agg(F.count("*").alias("n"))
+    rare = wanted.join(often, "w", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
+    met = words.join(rare, "w").select("query_id", "record_id").join(items, "query_id").join(docs, "record_id")
+    found = met.filter(F.contains("body", "text")).select("query_id", "record_id")
+    return found.unionByName(short.join(docs, F.contains("body", "text")).select("query_id", "record_id"))
+
+
 def anchors(queries: DataFrame, chunks: DataFrame, limit: int, skill_record: str = "skills", role_prefix: str = "role-") -> DataFrame:
     """``(query_id, chunk_id, pos, reason)``: chunks that a query names, then, for queries about a length of time,
-    role chunks with a period, canonical ones first. Queries are the stated side; the optimiser broadcasts them if they are small."""
+    role chunks with a period, canonical ones first.
+
+    A title may begin or end within a word of the query, so titles are distinct first and meet the queries in a nested
+    loop: skill titles are a vocabulary, not a corpus. Of the role chunks only the first ``limit`` can be used by any query; they are
+    taken first and joined to the queries that ask for a length of time."""
     q = queries.select("query_id", search_text(F.col("text")).alias("q"))
     skills = chunks.filter((F.col("record_id") == skill_record) & (F.col("chunk_type") == "skill")).withColumn("title", search_text(F.substring_index("text", "\n", 1)))
     named = skills.filter(F.length("title") >= 2).join(q, F.contains(F.col("q"), F.col("title"))).select("query_id", "chunk_id", F.lit(0).alias("prio"), F.lit("exact_named_skill").alias("reason"))
@@ -57,7 +84,9 @@ def anchors(queries: DataFrame, chunks: DataFrame, limit: int, skill_record: str
     body = search_text(F.col("text"))
     roles = chunks.filter(F.col("record_id").startswith(role_prefix) & (F.col("chunk_type") == "role_detail")).filter(F.contains(body, F.lit("period")))
     canonical = F.col("chunk_id").endswith("canonical-employment-record") | F.contains(body, F.lit("overall period"))
-    timed = roles.withColumn("prio", F.when(canonical, 1).otherwise(2)).crossJoin(asks).select("query_id", "chunk_id", "prio", F.lit("career_chronology").alias("reason"))
+    placed = roles.select("chunk_id", F.when(canonical, 1).otherwise(2).alias("prio")).orderBy("prio", "chunk_id").limit(limit)
+    few = placed.agg(F.collect_list(F.struct("prio", "chunk_id")).alias("few")).withColumn("one", F.lit(1))
+    timed = asks.withColumn("one", F.lit(1)).join(few, "one").select("query_id", F.inline("few"), F.lit("career_chronology").alias("reason"))
     order = Window.partitionBy("query_id").orderBy("prio", "chunk_id")
     first = named.unionByName(timed).groupBy("query_id", "chunk_id").agg(F.min(F.struct("prio", "reason")).alias("x")).select("query_id", "chunk_id", "x.*")
     return first.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit).select("query_id", "chunk_id", "pos", "reason")

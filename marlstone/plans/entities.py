@@ -55,25 +55,16 @@ def survivorship_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text[1:400], '[A-Za-z]+') AS ws FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
 e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) = 1)
 SELECT w.doc_id, coalesce((SELECT string_agg(f.w, ' ' ORDER BY f.i) FROM f WHERE f.doc_id = w.doc_id), '') AS words FROM w
 """)
 def ordered_distinct_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all(F.substring("text", 1, 400), F.lit("[A-Za-z]+"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_by_case(words), " ").alias("words"))
 
 
-@query()
-def ordered_distinct_ci_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole texts: the first spelling of each word at its least place; tested by brute force."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "w"))
-    first = words.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min(F.struct("pos", "w")).alias("s"))
-    ordered = F.transform(F.array_sort(F.collect_list("s")), lambda x: x["w"])
-    return first.groupBy("doc_id").agg(F.array_join(ordered, " ").alias("words"))
-
-
 SNAPSHOT_SQL = """
 prev AS (SELECT doc_id, source AS entity_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
 cur AS (SELECT doc_id, source AS entity_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0),

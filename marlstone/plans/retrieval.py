@@ -13,11 +13,6 @@ from .sqlkit import fold, table, tokens
 QUERIES, SQL, query = registry()
 
 
-def _items(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The query set: the first n test items."""
-    return table(spark, sf_dir, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
-
-
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries of searches: test items whose id is divisible by 50."""
     return table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), "text")
@@ -28,7 +23,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSTINGS_SQL = f"SELECT term, doc_id AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL"
-TERMS_SQL = f"SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tokens('text')}) AS term FROM benchmark WHERE item_id < {{n}}) GROUP BY ALL"
+TERMS_SQL = f"SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tokens('text')}) AS term FROM benchmark WHERE item_id % {{n}} = 0) GROUP BY ALL"
 TFIDF_SQL = f"""
 p AS ({POSTINGS_SQL}), q AS ({TERMS_SQL}), n AS (SELECT greatest(count(*), 1) AS n FROM documents),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -37,7 +32,7 @@ tfidf AS (SELECT q.query_id, p.chunk_id, round(sum((1 + ln(p.tf)) * (ln((n.n + 1
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM tfidf WHERE score > 0)
 """
 DENSE_SQL = """
-dq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {n}),
+dq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 ds AS (SELECT dq.query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], dq.q), 6) AS score FROM embeddings e, dq),
 den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds)
 """
@@ -62,36 +57,32 @@ def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.document_frequency(lexical.postings(_docs(spark, sf_dir)))
 
 
-@query(f"WITH {TFIDF_SQL.format(n=1)} SELECT chunk_id, score, rank FROM lex WHERE rank <= 10")
+@query(f"WITH {TFIDF_SQL.format(n=50)} SELECT query_id, chunk_id, score, rank FROM lex WHERE rank <= 10")
 def lexical_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.tfidf_scores(_docs(spark, sf_dir), _items(spark, sf_dir, 1))
-    return lexical.top_k(scores, 10).select("chunk_id", "score", F.col("rank").cast("bigint"))
+    scores = lexical.tfidf_scores(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
-@query(f"""WITH p AS ({POSTINGS_SQL}), q AS ({TERMS_SQL.format(n=1)}),
+@query(f"""WITH p AS ({POSTINGS_SQL}), q AS ({TERMS_SQL.format(n=50)}),
 s AS (SELECT query_id, chunk_id, CAST(sum((1 + tf) * qtf) AS DOUBLE) AS score FROM p JOIN q USING (term) GROUP BY ALL)
-SELECT chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""")
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""")
 def lexical_raw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.raw_scores(_docs(spark, sf_dir), _items(spark, sf_dir, 1))
-    return lexical.top_k(scores, 8).select("chunk_id", "score", F.col("rank").cast("bigint"))
+    scores = lexical.raw_scores(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    return lexical.top_k(scores, 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-def _vector_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query(f"WITH {DENSE_SQL.format(n=1)} SELECT chunk_id, score, rank FROM den WHERE rank <= 10")
+@query(f"WITH {DENSE_SQL} SELECT query_id, chunk_id, score, rank FROM den WHERE rank <= 10")
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = dense.cosine_scores(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 1))
-    return lexical.top_k(scores, 10).select("chunk_id", "score", F.col("rank").cast("bigint"))
-
-
-def _fused(spark: SparkSession, sf_dir: str, n: int, k: int) -> DataFrame:
-    return _fuse(spark, sf_dir, _items(spark, sf_dir, n), _vector_queries(spark, sf_dir, n), k)
+    scores = dense.cosine_scores(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
 def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -101,14 +92,14 @@ def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, vectors: DataFrame
     return out.select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("bigint"), F.col("dense_rank").cast("bigint"), "retrieval_source")
 
 
-@query(f"WITH {TFIDF_SQL.format(n=1)}, {DENSE_SQL.format(n=1)}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 8")
+@query(f"WITH {TFIDF_SQL.format(n=50)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 8")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 1, 8)
+    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 8)
 
 
-@query(f"WITH {TFIDF_SQL.format(n=10)}, {DENSE_SQL.format(n=10)}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 10")
+@query(f"WITH {TFIDF_SQL.format(n=50)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 10")
 def rrf_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 10, 10)
+    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
 
 
 #: Parts stand for queries, the kinds of part that names end in for skills, suppliers for roles.
@@ -163,7 +154,7 @@ def graph_expand_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RERANK_SQL = f"""
-WITH {TFIDF_SQL.format(n=10)},
+WITH {TFIDF_SQL.format(n=50)},
 v AS (SELECT *, CAST((chunk_id * 37 + query_id) % 101 AS INTEGER) AS relevance, CASE chunk_id % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'related' ELSE 'none' END AS support FROM lex WHERE rank <= 8)
 SELECT query_id, chunk_id, pos, pre_rerank_score, relevance, support, CAST(relevance AS DOUBLE) AS score FROM (
   SELECT query_id, chunk_id, score AS pre_rerank_score, relevance, support, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS pos FROM v WHERE support <> 'none') WHERE pos <= 6
@@ -172,7 +163,7 @@ SELECT query_id, chunk_id, pos, pre_rerank_score, relevance, support, CAST(relev
 
 @query(RERANK_SQL)
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir, _items(spark, sf_dir, 10))
+    return _reranked(spark, sf_dir, _asked(spark, sf_dir))
 
 
 def _reranked(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
@@ -184,11 +175,11 @@ def _reranked(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
 
 
 EVAL_SQL = f"""
-WITH {TFIDF_SQL.format(n=20)},
-rel AS (SELECT item_id AS query_id, doc_id AS record_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id < 20),
+WITH {TFIDF_SQL.format(n=1)},
+rel AS (SELECT item_id AS query_id, doc_id AS record_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 h AS (SELECT l.query_id, l.rank, r.record_id IS NOT NULL AS relevant FROM lex l LEFT JOIN rel r ON r.query_id = l.query_id AND r.record_id = l.chunk_id WHERE l.rank <= 6),
 c AS (SELECT b.item_id AS query_id, (SELECT count(*) FROM rel WHERE rel.query_id = b.item_id) AS expected,
-             (SELECT min(rank) FROM h WHERE h.query_id = b.item_id AND relevant) AS first FROM benchmark b WHERE item_id < 20),
+             (SELECT min(rank) FROM h WHERE h.query_id = b.item_id AND relevant) AS first FROM benchmark b),
 e AS (SELECT CASE WHEN expected = 0 OR first IS NOT NULL THEN 1.0 ELSE 0.0 END AS recall, coalesce(1.0 / first, 0.0) AS rr FROM c)
 SELECT count(*) AS case_count, CAST(sum(CASE WHEN recall = 1 THEN 1 ELSE 0 END) AS BIGINT) AS passed,
        round_even(CAST(sum(CASE WHEN recall = 1 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 4) AS pass_rate,
@@ -200,55 +191,11 @@ FROM e
 
 @query(EVAL_SQL)
 def eval_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluated(spark, sf_dir, _items(spark, sf_dir, 20))
-
-
-def _evaluated(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
-    hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 6).select("query_id", "chunk_id", F.col("rank").alias("pos"), F.col("chunk_id").alias("record_id"))
+    """Every benchmark item is a case; a document that contains it is expected."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("body"))
-    relevant = docs.join(F.broadcast(items), F.contains("body", F.col("text"))).select("query_id", "record_id", F.lit("expected").alias("kind"))
+    hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 6).select("query_id", "chunk_id", F.col("rank").alias("pos"), F.col("chunk_id").alias("record_id"))
+    # An expected hit only counts if it is found, so only documents among the hits and those that share the item's words can be one.
+    relevant = fusion.containing(docs, items).select("query_id", "record_id", F.lit("expected").alias("kind"))
     cases = items.select("query_id", F.lit(False).alias("negative"), F.lit(None).cast("string").alias("max_proficiency"))
     return evals.suite(evals.cases(cases, relevant, hits, 6))
-
-
-# Below: the same over whole query sets, without SQL; the queries above keep the sets that their SQL has.
-
-
-@query()
-def eval_mrr_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item is a case."""
-    return _evaluated(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-
-
-@query()
-def lexical_tfidf_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
-
-
-@query()
-def lexical_raw_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(lexical.raw_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)), 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
-
-
-def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
-@query()
-def dense_cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(dense.cosine_scores(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
-
-
-@query()
-def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 8)
-
-
-@query()
-def rrf_batch_queries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
-
-
-@query()
-def rerank_apply_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir, _asked(spark, sf_dir))

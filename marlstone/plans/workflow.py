@@ -65,17 +65,16 @@ def chunk_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat_ws("::", F.col("o_orderkey").cast("string"), "chunk_type").alias("chunk_id"), "text", F.sha2("text", 256).alias("content_hash"))
 
 
-def _records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Conversations as records: user turns by length are stack, requirements or responsibilities; 60 characters of each, or whole."""
-    text = F.col("text") if whole else F.substring("text", 1, 60)
-    t = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("s", F.struct("turn", text.alias("t")))
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records: user turns by length are stack, requirements or responsibilities."""
+    t = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("s", F.struct("turn", F.col("text").alias("t")))
     pick = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.col("s")))), lambda x: x["t"])
     n = F.length("text")
     return t.groupBy(F.col("conv_id").alias("vacancy_id")).agg(pick(n < 60).alias("tech_stack"), pick((n >= 60) & (n < 150)).alias("requirements"), pick(n >= 150).alias("responsibilities"), F.lit("role").alias("role_title"))
 
 
 REQUIREMENTS_SQL = f"""
-t AS (SELECT conv_id, turn, {squeeze('text[1:60]')} AS r, CASE WHEN length(text) < 60 THEN 0 WHEN length(text) < 150 THEN 1 ELSE 2 END AS part FROM conversations WHERE role = 'user'),
+t AS (SELECT conv_id, turn, {squeeze('text')} AS r, CASE WHEN length(text) < 60 THEN 0 WHEN length(text) < 150 THEN 1 ELSE 2 END AS part FROM conversations WHERE role = 'user'),
 f AS (SELECT * FROM t WHERE r <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, lower(r) ORDER BY part, turn) = 1),
 reqs AS (SELECT conv_id AS vacancy_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS req_pos, r AS requirement,
          CASE part WHEN 0 THEN 'technology_or_capability' WHEN 1 THEN 'requirement' ELSE 'responsibility' END AS requirement_type, CASE part WHEN 2 THEN 'important' ELSE 'critical' END AS importance FROM f)
@@ -87,12 +86,6 @@ def requirement_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.requirements(_records(spark, sf_dir)).withColumn("req_pos", F.col("req_pos").cast("bigint"))
 
 
-@query()
-def requirement_explode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole turns; tested by brute force."""
-    return matching.requirements(_records(spark, sf_dir, whole=True)).withColumn("req_pos", F.col("req_pos").cast("bigint"))
-
-
 COVERAGE_SQL = f"""
 WITH {REQUIREMENTS_SQL},
 q AS (SELECT vacancy_id, req_pos, term, count(*) AS qtf FROM (SELECT vacancy_id, req_pos, unnest({tokens('requirement')}) AS term FROM reqs) GROUP BY ALL),
@@ -106,8 +99,8 @@ cov AS (SELECT r.vacancy_id, r.req_pos, r.requirement, CASE WHEN best IS NULL TH
 """
 
 
-def _matches(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    reqs = matching.requirements(_records(spark, sf_dir, whole)).withColumn("q", F.struct("vacancy_id", "req_pos"))
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reqs = matching.requirements(_records(spark, sf_dir)).withColumn("q", F.struct("vacancy_id", "req_pos"))
     docs = table(spark, sf_dir, "documents")
     scores = lexical.raw_scores(docs.select(F.col("doc_id").alias("chunk_id"), "text"), reqs, query_id="q", query_text="requirement")
     hits = lexical.top_k(scores.withColumnRenamed("query_id", "query_id"), 5).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("record_id")), "chunk_id")
@@ -132,18 +125,6 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.summary(_matches(spark, sf_dir)).drop("evidence_chunk_ids", "evidence_record_ids")
 
 
-@query()
-def coverage_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole turns; tested by brute force."""
-    return _matches(spark, sf_dir, whole=True).select("vacancy_id", F.col("req_pos").cast("bigint").alias("req_pos"), "requirement", "coverage")
-
-
-@query()
-def match_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole turns; tested by brute force."""
-    return matching.summary(_matches(spark, sf_dir, whole=True)).drop("evidence_chunk_ids", "evidence_record_ids")
-
-
 @query("""SELECT source, doc_id, pos, CAST(used AS BIGINT) AS used FROM (SELECT source, doc_id, row_number() OVER w AS pos, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM documents
 WINDOW w AS (PARTITION BY source ORDER BY n_chars, doc_id)) WHERE pos <= 40 AND used <= 70000""")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

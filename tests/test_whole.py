@@ -32,26 +32,26 @@ def root(spark, tmp_path_factory):
 
 def test_distinct_words_of_whole_texts(spark, root):
     d, texts = root
-    got = {r["doc_id"]: r["words"] for r in Q["ordered_distinct_ci_whole"](spark, d).collect()}
+    got = {r["doc_id"]: r["words"] for r in Q["ordered_distinct_ci"](spark, d).collect()}
     assert got == {i: first_words(t) for i, t in enumerate(texts)} and got[0] == "word Zebra lynx"
 
 
 def test_requirements_of_whole_turns(spark, root):
     d, _ = root
-    got = sorted((r["vacancy_id"], r["req_pos"], r["requirement"][-12:].split(" ")[-1]) for r in Q["requirement_explode_whole"](spark, d).collect())
+    got = sorted((r["vacancy_id"], r["req_pos"], r["requirement"][-12:].split(" ")[-1]) for r in Q["requirement_explode"](spark, d).collect())
     assert [(v, w) for v, _, w in got] == [(1, "one"), (1, "cranes"), (1, "Barges"), (2, "zeppelin")]
-    cover = {(r["vacancy_id"], r["requirement"].split(" ")[-1]): r["coverage"] for r in Q["coverage_classify_whole"](spark, d).collect()}
+    cover = {(r["vacancy_id"], r["requirement"].split(" ")[-1]): r["coverage"] for r in Q["coverage_classify"](spark, d).collect()}
     assert cover[2, "zeppelin"] != "unsupported" and cover[1, "Barges"] != "unsupported" and cover[1, "one"] == "unsupported"
-    assert {r["vacancy_id"]: r["n_requirements"] for r in Q["match_summary_whole"](spark, d).collect()} == {1: 3, 2: 1}
+    assert {r["vacancy_id"]: r["n_requirements"] for r in Q["match_summary"](spark, d).collect()} == {1: 3, 2: 1}
 
 
 def test_query_sets(spark, root):
     d, _ = root
-    r = Q["eval_mrr_recall_all"](spark, d).first()
+    r = Q["eval_mrr_recall"](spark, d).first()
     assert r["case_count"] == 5 and r["passed"] == 5 and r["positive_mrr"] == 0.6
-    for name in ("lexical_tfidf_topk_all", "lexical_raw_topk_all"):
+    for name in ("lexical_tfidf_topk", "lexical_raw_topk"):
         assert {x["query_id"] for x in Q[name](spark, d).collect()} == {50, 100}, name
-    assert {x["query_id"] for x in Q["dense_cosine_topk_all"](spark, d).collect()} == {0, 50, 100}
-    for name in ("rrf_fusion_all", "rrf_batch_queries_all"):
+    assert {x["query_id"] for x in Q["dense_cosine_topk"](spark, d).collect()} == {0, 50, 100}
+    for name in ("rrf_fusion", "rrf_batch_queries"):
         assert {x["query_id"] for x in Q[name](spark, d).collect()} == {0, 50, 100}, name
-    assert {x["query_id"] for x in Q["rerank_apply_all"](spark, d).collect()} <= {50, 100}
+    assert {x["query_id"] for x in Q["rerank_apply"](spark, d).collect()} <= {50, 100}
