@@ -142,7 +142,7 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     keyed = with_key(docs, doc_id, text)
     rows = written(fingerprints(keyed, "_key", text, shingle).select("doc_id.id", "doc_id.h1", "doc_id.h2", "fp"), "fingerprints")
-    return keep_least(docs, keyed, rows, lambda fps: links(fps, distance))
+    return keep_least(docs, keyed, rows, lambda fps: components(links(fps, distance)))
 
 
 def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -150,11 +150,11 @@ def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit("2"), F.col(text)).alias("h2")))
 
 
-def keep_least(docs: DataFrame, keyed: DataFrame, rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of each component of what ``link`` joins among the distinct ``fp`` of ``rows(id, h1, h2, fp)``, the row of the least id."""
+def keep_least(docs: DataFrame, keyed: DataFrame, rows: DataFrame, rooted_by: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each component ``(node, root)`` that ``rooted_by`` finds among the distinct ``fp`` of ``rows(id, h1, h2, fp)``, the row of the least id."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("first")
     fps = written(rows.groupBy("fp").agg(first), "distinct-fingerprints")
-    roots = components(link(fps.select("fp")))
+    roots = rooted_by(fps.select("fp"))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     stay = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     stay = written(stay.select(F.struct("first.id", "first.h1", "first.h2").alias("_stay")), "representatives")
