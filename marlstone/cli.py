@@ -1,4 +1,4 @@
-"""Command line: ``python -m marlstone ingest|retrieve|validate|match``."""
+"""Command line: ``python -m marlstone ingest|evidence|retrieve|match|validate``."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import hybrid, lexical, matching, sections
 from .sources import feeds, markdown
 from .sources.state import StateStore
+from .streaming import evidence as evidence_runs
 from .streaming import ingest
 
 CHUNKS = "chunk_id string, vacancy_id string, chunk_type string, text string, content_hash string, source_paths array<string>"
@@ -47,6 +48,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a.add_argument("query")
     a.add_argument("--top-k", type=int, default=5)
     a.add_argument("--include-source-fit", action="store_true")
+    a = sub.add_parser("evidence", help="run over the Markdown files below ROOT")
+    a.add_argument("root")
+    a.add_argument("state")
+    a.add_argument("--run-id")
+    a.add_argument("--full-rebuild", action="store_true")
+    a = sub.add_parser("match", help="cover the requirements of a state's records by its evidence")
+    a.add_argument("state")
+    a.add_argument("--vacancy-id")
+    a.add_argument("--top-k", type=int, default=6)
     a = sub.add_parser("validate", help="check the Markdown files below ROOT")
     a.add_argument("root")
     args = p.parse_args(argv)
@@ -56,6 +66,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         report = ingest.run_batch(spark, StateStore(spark, args.state), feeds.read_files(spark, args.root), run_id, full_rebuild=args.full_rebuild)
         print(report.run_id, report.status, *(f"{k}={v}" for k, v in report.counts.items()))
         return 2 if args.fail_on_quarantine and report.counts["quarantined"] else 0
+    if args.command == "evidence":
+        run_id = args.run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+        report = evidence_runs.run_batch(spark, StateStore(spark, args.state), markdown.read_files(spark, args.root), run_id, full_rebuild=args.full_rebuild)
+        print(report.run_id, report.status, *(f"{k}={v}" for k, v in report.counts.items()))
+        return 0
+    if args.command == "match":
+        store = StateStore(spark, args.state)
+        records = store.current("merged")
+        records = records if args.vacancy_id is None else records.filter(F.col("vacancy_id") == args.vacancy_id)
+        for r in matching.summary(match(records, store.current("evidence_chunks"), k=args.top_k)).orderBy("vacancy_id").toLocalIterator():
+            print(r["vacancy_id"], r["coverage_score"], *(f"{c}={r[c]}" for c in ("n_requirements", *matching.WEIGHTS, "unsupported")))
+        return 0
     if args.command == "retrieve":
         for r in retrieve(StateStore(spark, args.state), args.query, args.top_k, args.include_source_fit).toLocalIterator():
             print(r["rank"], r["score"], r["chunk_id"])

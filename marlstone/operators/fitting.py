@@ -77,6 +77,7 @@ def contrast_checks(tokens: DataFrame) -> DataFrame:
     """Six rows for each of ``tokens(brand_id, primary, secondary, accent, surface, text, muted)``: ratio, threshold, passed."""
     from ..functions.color import contrast
 
+    # Pairs, thresholds and names of the checks.
     specs = (
         ("text", "surface", 4.5, "body text on surface"), ("primary", "surface", 4.5, "primary headings on surface"), ("muted", "surface", 4.5, "muted text on surface"),
         ("surface", "primary", 4.5, "light text on primary areas"), ("surface", "secondary", 4.5, "light text on secondary areas"), ("accent", "surface", 3.0, "large/accent graphics on surface"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities, retrieval, workflow
+from . import entities, feeds, gates, retrieval, workflow
 
-MODULES = (retrieval, entities, workflow)
+MODULES = (retrieval, entities, feeds, gates, workflow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ from .sqlkit import fold, table, tokens
 QUERIES, SQL, query = registry()
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries of searches: test items whose id is divisible by 50."""
     return table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), "text")
 
@@ -59,7 +59,7 @@ def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TFIDF_SQL.format(n=50)} SELECT query_id, chunk_id, score, rank FROM lex WHERE rank <= 10")
 def lexical_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.tfidf_scores(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    scores = lexical.tfidf_scores(_docs(spark, sf_dir), asked(spark, sf_dir))
     return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
@@ -67,39 +67,39 @@ def lexical_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT query_id, chunk_id, CAST(sum((1 + tf) * qtf) AS DOUBLE) AS score FROM p JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""")
 def lexical_raw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.raw_scores(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    scores = lexical.raw_scores(_docs(spark, sf_dir), asked(spark, sf_dir))
     return lexical.top_k(scores, 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, chunk_id, score, rank FROM den WHERE rank <= 10")
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = dense.cosine_scores(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    scores = dense.cosine_scores(vectors(spark, sf_dir), asked_vectors(spark, sf_dir))
     return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
 def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     lex = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 20)
-    den = lexical.top_k(dense.cosine_scores(_vectors(spark, sf_dir), vectors), 20)
+    den = lexical.top_k(dense.cosine_scores(vectors(spark, sf_dir), vectors), 20)
     out = fusion.reciprocal_rank_fusion(lex, den, k)
     return out.select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("bigint"), F.col("dense_rank").cast("bigint"), "retrieval_source")
 
 
 @query(f"WITH {TFIDF_SQL.format(n=50)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 8")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 8)
+    return _fuse(spark, sf_dir, asked(spark, sf_dir), asked_vectors(spark, sf_dir), 8)
 
 
 @query(f"WITH {TFIDF_SQL.format(n=50)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 10")
 def rrf_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuse(spark, sf_dir, _asked(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
+    return _fuse(spark, sf_dir, asked(spark, sf_dir), asked_vectors(spark, sf_dir), 10)
 
 
 #: Parts stand for queries, the kinds of part that names end in for skills, suppliers for roles.
@@ -163,7 +163,7 @@ SELECT query_id, chunk_id, pos, pre_rerank_score, relevance, support, CAST(relev
 
 @query(RERANK_SQL)
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir, _asked(spark, sf_dir))
+    return _reranked(spark, sf_dir, asked(spark, sf_dir))
 
 
 def _reranked(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ cov AS (SELECT r.vacancy_id, r.req_pos, r.requirement, CASE WHEN best IS NULL TH
 """
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits_of_requirements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All requirements, and the documents that answer each best."""
     reqs = matching.requirements(_records(spark, sf_dir)).withColumn("q", F.struct("vacancy_id", "req_pos"))
     docs = table(spark, sf_dir, "documents")
     scores = lexical.raw_scores(docs.select(F.col("doc_id").alias("chunk_id"), "text"), reqs, query_id="q", query_text="requirement")
@@ -110,7 +111,11 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("query_id.vacancy_id").alias("vacancy_id"), F.col("query_id.req_pos").alias("req_pos"), F.col("rank").alias("pos"), F.col("chunk_id").cast("string").alias("chunk_id"), "record_id",
         F.when(even, "skill").otherwise("section").alias("chunk_type"), level.alias("proficiency"), "score", F.col("record_id").alias("source_path"),
     )
-    return matching.coverage(reqs.drop("q"), hits)
+    return reqs.drop("q"), hits
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.coverage(*hits_of_requirements(spark, sf_dir))
 
 
 @query(f"{COVERAGE_SQL} SELECT * FROM cov")

@@ -1,8 +1,8 @@
 """Versioned state tables: a new version is written beside the old one, then a pointer is moved.
 
-``<root>/<table>/v=<n>`` holds a version; ``<root>/<table>/CURRENT`` is a one-row text table that names it, written last. A path that is
-being read is never overwritten, and a run that dies leaves the old version in force. All access goes through Spark, so any store
-that Spark reads will do.
+``<root>/<table>/v=<n>`` holds a version; ``<root>/<table>/CURRENT`` is a text table to which its number is appended last, and the greatest
+number is in force. Nothing that names a version is ever overwritten or deleted first, so a run that dies at any point leaves the old version
+in force, and a path that is being read is never overwritten. All access goes through Spark, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
@@ -23,24 +23,40 @@ class StateStore:
     def version(self, name: str) -> int:
         """Version in force; 0 if the table was never written."""
         try:
-            row = self.spark.read.schema("value string").text(f"{self.root}/{name}/CURRENT").first()
+            row = self.spark.read.schema("value string").text(f"{self.root}/{name}/CURRENT").agg(F.max(F.col("value").cast("int"))).first()
         except AnalysisException:
             return 0
-        return int(row[0]) if row else 0
+        return row[0] or 0
 
     def read(self, name: str, schema: StructType | str) -> DataFrame:
         """The version in force, or an empty table of the schema."""
         v = self.version(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={v}") if v else self.spark.createDataFrame([], schema)
 
+    def current(self, name: str) -> DataFrame:
+        """The version in force with the schema it was written with; the table must exist."""
+        if not (v := self.version(name)):
+            raise ValueError(f"no table {name!r} below {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{name}/v={v}")
+
     def write(self, name: str, df: DataFrame, sort: str | None = None) -> DataFrame:
         """Writes a new version, puts it in force and returns it as read back. ``sort`` orders rows within files, for pruning."""
         v = self.version(name) + 1
         path = f"{self.root}/{name}/v={v}"
         (df.sortWithinPartitions(sort) if sort else df).write.mode("overwrite").parquet(path)
-        self.spark.range(1).select(F.lit(str(v)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/CURRENT")
+        self.spark.range(1).select(F.lit(str(v)).alias("value")).coalesce(1).write.mode("append").text(f"{self.root}/{name}/CURRENT")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def retain(self, name: str, versions: int = 2) -> None:
+        """Deletes all but the newest ``versions`` of a table; nobody may be reading the others."""
+        jvm, least = self.spark._jvm, self.version(name) - versions
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for status in fs.listStatus(folder) if fs.exists(folder) else ():
+            at = status.getPath()
+            if at.getName().startswith("v=") and int(at.getName()[2:]) <= least:
+                fs.delete(at, True)
+
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows to an append-only table, such as run reports."""
         df.write.mode("append").parquet(f"{self.root}/{name}/log")
@@ -65,9 +81,11 @@ def latest(runs: DataFrame, order: str = "run_id") -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as ``spark.checkpoint.dir`` names it; a temporary one where that is unset, as in tests."""
+    """The cluster's shared folder as ``spark.checkpoint.dir`` names it; a temporary one where that is unset and the master is local, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -22,6 +22,8 @@ SOURCES = "source_path string, source_hash string, source_format string, status
 RUNS = "run_id string, status string, counts map<string,bigint>"
 OUTCOMES = "vacancy_id string, outcome string, run_id string"
 TABLES = ("sources", "records", "merged", "chunks", "postings", "quarantine")
+#: Tables of one run.
+PASSING = ("changes", "gone", "adapted", "rejected", "impacted", "merging", "outcomes")
 
 
 @dataclass
@@ -89,6 +91,8 @@ def run_batch(spark: SparkSession, store: StateStore, files: DataFrame, run_id:
     status = "completed_with_quarantine" if counts["quarantined"] else "success"
     store.append("outcomes_log", result.withColumn("run_id", F.lit(run_id)))
     store.append("runs", spark.createDataFrame([(run_id, status, counts)], RUNS))
+    for name in (*TABLES, *PASSING):
+        store.retain(name)
     return Report(run_id, status, counts)
 
 

@@ -7,7 +7,7 @@ from marlstone import cli
 from marlstone.operators import chunks, diff, fidelity, language, merge, sections
 from marlstone.sources import feeds, markdown
 from marlstone.sources.state import StateStore, latest
-from marlstone.streaming import ingest
+from marlstone.streaming import evidence, ingest
 
 A = {"last_updated": "2026-01-01", "total_results": 1, "vacancies": [{"id": "1", "company": "Acme ", "role_title": "Lead Data Scientist", "tech_stack": ["Python", "python"], "location": {"city": "Oslo", "work_model": "Híbrido"}, "fit_score": 91}]}
 B = {"metadata": {"fecha_busqueda": "2026-01-02"}, "vacantes": [{"id_vacante": "9", "puesto": "Lead Data Scientist", "empresa": "ACME", "ubicacion": "Oslo", "porcentaje_ajuste": 88.5, "stack_clave_detectado": ["Spark"]}]}
@@ -171,3 +171,46 @@ def test_match_in_one_plan(spark, tmp_path):
     evidence = spark.createDataFrame([("skills::python", "skills", "skill", "Python\nlevel core", "core", "s.md"), ("p::x", "p", "section", "other", None, "p.md")], "chunk_id string, record_id string, chunk_type string, text string, proficiency string, source_path string")
     got = cli.match(rows, evidence).collect()
     assert [(r["requirement"], r["coverage"], r["evidence_chunk_ids"]) for r in got] == [("Python", "strong", ["skills::python"])]
+
+
+def test_pointer_survives_a_dead_run(spark, tmp_path):
+    """A run that dies after its data and before its pointer leaves the old version; the next one writes over its leavings."""
+    store = StateStore(spark, str(tmp_path))
+    rows = lambda n: spark.range(n).select(F.col("id").cast("int").alias("x"))
+    for n in (1, 2, 3):
+        store.write("t", rows(n))
+    rows(9).write.parquet(str(tmp_path / "t/v=4"))
+    assert store.version("t") == 3 and store.read("t", "x int").count() == 3
+    store.write("t", rows(4))
+    store.retain("t", 2)
+    assert store.read("t", "x int").count() == 4 and sorted(p.name for p in (tmp_path / "t").glob("v=*")) == ["v=3", "v=4"]
+    store.retain("none")
+    with pytest.raises(ValueError):
+        store.current("none")
+
+
+def test_evidence_runs(spark, tmp_path, capsys):
+    data, state_dir = tmp_path / "md", tmp_path / "state"
+    data.mkdir()
+    head = "---\nrecord_id: {}\nrecord_type: project\nstatus: canonical\npublic_safe: true\n---\n"
+    (data / "a.md").write_text(head.format("a") + "# Spark\nPython and SQL\n[b](b.md)\n")
+    (data / "b.md").write_text(head.format("b") + "# Other\nkafka\n")
+    store = StateStore(spark, str(state_dir))
+    run = lambda n: evidence.run_batch(spark, store, markdown.read_files(spark, str(data)), f"e{n}").counts
+    first = run(1)
+    assert (first["new"], first["reindexed"], first["records"], first["chunks"], first["relations"]) == (2, 2, 2, 2, 1)
+    second = run(2)
+    assert (second["unchanged"], second["impacted"], second["reindexed"], second["chunks"]) == (2, 0, 0, 2)
+    (data / "b.md").write_text(head.format("b") + "# Other\nflink\n")
+    third = run(3)
+    assert (third["modified"], third["impacted"], third["reindexed"]) == (1, 1, 1)
+    terms = {r["term"] for r in store.current("evidence_postings").collect()}
+    assert "flink" in terms and "kafka" not in terms and "python" in terms
+    feed = tmp_path / "in"
+    feed.mkdir()
+    put(feed, a=A)
+    assert cli.main(["ingest", str(feed), str(state_dir), "--run-id", "r1"], spark) == 0
+    assert cli.main(["evidence", str(data), str(state_dir), "--run-id", "e6"], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["match", str(state_dir)], spark) == 0
+    assert "n_requirements=1" in capsys.readouterr().out
