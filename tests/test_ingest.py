@@ -206,11 +206,10 @@ def test_evidence_runs(spark, tmp_path, capsys):
     assert (third["modified"], third["impacted"], third["reindexed"]) == (1, 1, 1)
     terms = {r["term"] for r in store.current("evidence_postings").collect()}
     assert "flink" in terms and "kafka" not in terms and "python" in terms
-    feed = tmp_path / "in"
-    feed.mkdir()
-    put(feed, a=A)
-    assert cli.main(["ingest", str(feed), str(state_dir), "--run-id", "r1"], spark) == 0
-    assert cli.main(["evidence", str(data), str(state_dir), "--run-id", "e6"], spark) == 0
-    capsys.readouterr()
+    put(tmp_path, a=A)
+    store.write("merged", feeds.adapt(feeds.check(feeds.envelope(feeds.read_files(spark, str(tmp_path), "*.json")))))
     assert cli.main(["match", str(state_dir)], spark) == 0
     assert "n_requirements=1" in capsys.readouterr().out
+    (data / "c.md").write_text(head.format("a") + "# Twice\nx\n")
+    with pytest.raises(ValueError, match="several files"):
+        run(4)
