@@ -47,15 +47,17 @@ class StateStore:
         self.spark.range(1).select(F.lit(str(v)).alias("value")).coalesce(1).write.mode("append").text(f"{self.root}/{name}/CURRENT")
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def retain(self, name: str, versions: int = 2) -> None:
-        """Deletes all but the newest ``versions`` of a table; nobody may be reading the others."""
-        jvm, least = self.spark._jvm, self.version(name) - versions
+    def retain(self, name: str, versions: int = 1) -> None:
+        """Deletes all but the newest of a table and ``versions`` before it; nobody may be reading the others. One more than the version in force
+        may be there, left by a run that died, so at least ``versions`` that were in force stay."""
+        jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        for status in fs.listStatus(folder) if fs.exists(folder) else ():
-            at = status.getPath()
-            if at.getName().startswith("v=") and int(at.getName()[2:]) <= least:
-                fs.delete(at, True)
+        paths = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        written = {int(x.getName()[2:]): x for x in paths if x.getName().startswith("v=")}
+        for n, path in written.items():
+            if n < max(written) - versions:
+                fs.delete(path, True)
 
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows to an append-only table, such as run reports."""

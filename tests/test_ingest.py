@@ -182,7 +182,7 @@ def test_pointer_survives_a_dead_run(spark, tmp_path):
     rows(9).write.parquet(str(tmp_path / "t/v=4"))
     assert store.version("t") == 3 and store.read("t", "x int").count() == 3
     store.write("t", rows(4))
-    store.retain("t", 2)
+    store.retain("t")
     assert store.read("t", "x int").count() == 4 and sorted(p.name for p in (tmp_path / "t").glob("v=*")) == ["v=3", "v=4"]
     store.retain("none")
     with pytest.raises(ValueError):
