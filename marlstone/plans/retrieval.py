@@ -85,9 +85,9 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
-def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, aimed: DataFrame, k: int) -> DataFrame:
     lex = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 20)
-    den = lexical.top_k(dense.cosine_scores(vectors(spark, sf_dir), vectors), 20)
+    den = lexical.top_k(dense.cosine_scores(vectors(spark, sf_dir), aimed), 20)
     out = fusion.reciprocal_rank_fusion(lex, den, k)
     return out.select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("bigint"), F.col("dense_rank").cast("bigint"), "retrieval_source")
 
