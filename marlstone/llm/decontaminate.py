@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_bytes
-from .textscan import LOWER, Texts, U, Words, gram_hash, hash_words, pieces, texts, words
+from .textscan import LOWER, Texts, U, Words, gram_hash, hash_words, pieces, slices, texts, words
 
 SHINGLE = 5
 _BITS = 20
@@ -166,7 +166,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
         shared = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 keep = np.ones(b.num_rows, bool)
                 keep[[row for row, _, _ in shared.value.find(texts(b.column(place)))]] = False
                 yield b.filter(pa.array(keep))

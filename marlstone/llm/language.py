@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold_of
-from .textscan import LETTER, LOWER, Texts, pieces, texts
+from .textscan import LETTER, LOWER, Texts, pieces, slices, texts
 
 UND = "und"
 MAX_N = 4
@@ -191,7 +191,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", languages
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             langs, _, claims, grams = shared.value.judge(texts(b.column(place)))
             known = np.fromiter((x in wanted for x in langs), bool, len(langs))
             yield b.filter(pa.array(known & ((claims >= claim) | (grams < least_grams))))

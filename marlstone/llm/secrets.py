@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample
+from .textscan import slices
 
 #: Kinds in order, pattern, group whose length counts, least length.
 BASE = (
@@ -224,7 +225,7 @@ def redact(docs: DataFrame, model: Markov, text: str = "text", length: str | Non
     count = docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             new, lengths = [], b.column(count).to_pylist() if count is not None else []
             for i, t in enumerate(b.column(place)):
                 t = t.as_py()

@@ -76,6 +76,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices: what a stage that passes texts on builds and sends back at a time is small, whatever the batches."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def pieces(t: Texts, most: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """Runs of whole rows with about ``most`` bytes (a longer row alone): first row, end row, their text."""
     n, at = len(t.offsets) - 1, 0
