@@ -61,7 +61,7 @@ f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, lower(w) O
 SELECT w.doc_id, coalesce((SELECT string_agg(f.w, ' ' ORDER BY f.i) FROM f WHERE f.doc_id = w.doc_id), '') AS words FROM w
 """)
 def ordered_distinct_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_by_case(words), " ").alias("words"))
 
 
