@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, quality_net, quality_rules, secrets, simhash, substrings, toxicity, warc
+from . import decontaminate, language, lines, mixing, quality_net, quality_rules, secrets, simhash, substrings, toxicity, trie, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_net": quality_net.op9_quality_net,
         "op10_mixing": mixing.op10_mixing,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_line_dedup": lines.op12_line_dedup,
+        "op13_vector_codes": vectors.op13_vector_codes,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substrings": substrings.OP2_SQL,
         "op7_warc": warc.OP7_SQL,
         "op10_mixing": mixing.OP10_SQL,
+        "op11_prefix_trie": trie.OP11_SQL,
+        "op12_line_dedup": lines.OP12_SQL,
+        "op13_vector_codes": vectors.OP13_SQL,
     }
