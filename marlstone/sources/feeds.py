@@ -31,11 +31,16 @@ SHAPES = {
 
 
 def read_files(spark: SparkSession, root: str, *globs: str) -> DataFrame:
-    """``(source_path, source_hash, text, utf8)`` of the JSON files below ``root``; paths are relative to it, text is null unless UTF-8."""
+    """``named`` rows of the JSON files below ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load([f"{root}/{g}" for g in globs] or root)
+    return named(files, root)
+
+
+def named(files: DataFrame, root: str) -> DataFrame:
+    """``(source_path, source_hash, text, content)`` of binary files; paths are relative to ``root``, text is null unless UTF-8."""
     base = root.removeprefix("file://").rstrip("/") + "/"
     path = F.regexp_replace("path", "^.*" + "".join("\\" + c if c in ".+()[]{}^$|" else c for c in base), "")
-    return files.select(path.alias("source_path"), F.sha2("content", 256).alias("source_hash"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return files.select(path.alias("source_path"), F.sha2("content", 256).alias("source_hash"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"), "content")
 
 
 def _is_list(v: Column, path: str) -> Column:

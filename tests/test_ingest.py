@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import cli
-from marlstone.operators import chunks, diff, fidelity, language, merge, sections
+from marlstone.operators import chunks, diff, fidelity, language, lexical, merge, sections
 from marlstone.sources import feeds, markdown
-from marlstone.sources.state import StateStore, latest
+from marlstone.sources.state import Conflict, StateStore, Transaction, latest
 from marlstone.streaming import evidence, ingest
 
 A = {"last_updated": "2026-01-01", "total_results": 1, "vacancies": [{"id": "1", "company": "Acme ", "role_title": "Lead Data Scientist", "tech_stack": ["Python", "python"], "location": {"city": "Oslo", "work_model": "Híbrido"}, "fit_score": 91}]}
@@ -173,22 +173,170 @@ def test_match_in_one_plan(spark, tmp_path):
     assert [(r["requirement"], r["coverage"], r["evidence_chunk_ids"]) for r in got] == [("Python", "strong", ["skills::python"])]
 
 
-def test_pointer_survives_a_dead_run(spark, tmp_path):
-    """A run that dies after its data and before its pointer leaves the old version; the next one writes over its leavings."""
+def test_snapshot_survives_a_dead_run(spark, tmp_path):
+    """A run that dies after its data and before its snapshot leaves the old one in force; what it wrote is never seen, and goes."""
     store = StateStore(spark, str(tmp_path))
     rows = lambda n: spark.range(n).select(F.col("id").cast("int").alias("x"))
     for n in (1, 2, 3):
-        store.write("t", rows(n))
-    rows(9).write.parquet(str(tmp_path / "t/v=4"))
-    assert store.version("t") == 3 and store.read("t", "x int").count() == 3
-    store.write("t", rows(4))
-    store.retain("t")
-    assert store.read("t", "x int").count() == 4 and sorted(p.name for p in (tmp_path / "t").glob("v=*")) == ["v=3", "v=4"]
-    store.retain("none")
-    with pytest.raises(ValueError):
+        store.write("t", rows(n), "x")
+    dead = store.begin()
+    dead.write("t", rows(9), "x")
+    assert store.snapshot().number == 3 and store.read("t", "x int").count() == 3
+    store.write("t", rows(4), "x")
+    with pytest.raises(Conflict):
+        dead.commit()  # another run has committed since it began
+    store.retain()
+    assert store.read("t", "x int").count() == 4 and store.numbers() == [3, 4] and len(store.names("t")) == 2
+    store.retain(0)
+    assert sorted(r["x"] for r in store.current("t").collect()) == [0, 1, 2, 3] and len(store.names("t")) == 1
+    store.wipe("t")
+    assert store.current("t").collect() == [] and store.snapshot(4).tables["t"].folders
+    with pytest.raises(ValueError, match="no table"):
         store.current("none")
 
 
+class Died(Exception):
+    pass
+
+
+def dying(monkeypatch, after):
+    """From now on a run dies after as many writes of tables."""
+    left = [after]
+    write = Transaction._put
+
+    def put(self, *args):
+        if left[0] == 0:
+            raise Died
+        left[0] -= 1
+        return write(self, *args)
+
+    monkeypatch.setattr(Transaction, "_put", put)
+
+
+def contents(store, names=(*ingest.TABLES, *evidence.TABLES)):
+    out = {}
+    for n in names:
+        rows = store.read(n, "x int")
+        if n.endswith("frequencies"):
+            rows = ingest.frequencies(rows) if rows.columns != ["x"] else rows
+        out[n] = sorted(map(str, rows.select(*sorted(rows.columns)).collect()))
+    return out
+
+
+def test_a_run_that_dies_anywhere_is_done_again(spark, tmp_path, monkeypatch):
+    data = tmp_path / "in"
+    data.mkdir()
+    files = lambda: feeds.read_files(spark, str(data))
+    put(data, a=A, b=B, bad={"vacancies": [{"company": ""}]})
+    stores = {k: StateStore(spark, str(tmp_path / k), buckets=4) for k in ("calm", "stormy")}
+    for s in stores.values():
+        ingest.run_batch(spark, s, files(), "r1")
+    put(data, a={**A, "vacancies": [{**A["vacancies"][0], "tech_stack": ["Kafka"]}]}, bad={"vacancies": [{"role_title": ""}]})
+    (data / "b.json").unlink()
+    ingest.run_batch(spark, stores["calm"], files(), "r2")
+    want = contents(stores["calm"])
+    deaths = 0
+    # Adapted once for all: building that plan is most of a small run.
+    adapted = feeds.adapt(feeds.check(feeds.envelope(files().filter("source_path = 'a.json'"))))
+    while True:
+        with monkeypatch.context() as m:
+            m.setattr(feeds, "adapt", lambda checked, commit=None: adapted)
+            dying(m, deaths)
+            try:
+                ingest.run_batch(spark, stores["stormy"], files(), "r2")
+                break
+            except Died:
+                deaths += 1
+        assert stores["stormy"].snapshot().number == 1
+    assert deaths == 10  # each table, and the logs of outcomes and runs
+    assert contents(stores["stormy"]) == want
+    terms = {r["term"] for r in stores["stormy"].current("postings").collect()}
+    assert "kafka" in terms and "python" not in terms and "spark" not in terms
+    again = ingest.run_batch(spark, stores["stormy"], files(), "r3").counts
+    assert again["unchanged"] == 2 and again["impacted"] == again["quarantined"] == 0 and contents(stores["stormy"]) == want
+
+
+def test_one_changed_file_rewrites_little(spark, tmp_path):
+    text = F.concat(F.lit('{"vacancies": [{"company": "c'), F.col("id"), F.lit('", "role_title": "Engineer '), F.col("id"), F.lit('", "tech_stack": ["Python", "s'), F.col("id"), F.lit('"]}]}'))
+    files = spark.range(10_000).select(F.concat(F.lit("f"), F.col("id"), F.lit(".json")).alias("source_path"), F.when(F.col("id") == 77, F.concat(text, F.lit(" "))).otherwise(text).alias("text"))
+    hashed = files.withColumn("source_hash", F.sha2("text", 256))
+    store = StateStore(spark, str(tmp_path), buckets=512)
+    ingest.run_batch(spark, store, hashed, "r1")
+    edited = hashed.withColumn("text", F.when(F.col("source_path") == "f4242.json", F.replace("text", F.lit("Python"), F.lit("Kafka"))).otherwise(F.col("text"))).withColumn("source_hash", F.sha2("text", 256))
+    sizes = {}
+    commit = Transaction.commit
+
+    def measured(self, batch=None):
+        sizes.update(self.written_bytes(ingest.TABLES))
+        return commit(self, batch)
+
+    Transaction.commit = measured
+    try:
+        counts = ingest.run_batch(spark, store, edited, "r2").counts
+    finally:
+        Transaction.commit = commit
+    assert (counts["modified"], counts["unchanged"], counts["reindexed"], counts["active"]) == (1, 9999, 1, 10_000)
+    assert sum(w for w, _ in sizes.values()) < 0.01 * sum(n for _, n in sizes.values())
+
+
+def test_document_frequencies_equal_a_recount(spark, tmp_path):
+    data, store = tmp_path / "in", StateStore(spark, str(tmp_path / "s"), buckets=4)
+    data.mkdir()
+    steps = [{"a": A, "b": B}, {"a": {**A, "vacancies": [{**A["vacancies"][0], "tech_stack": ["Kafka", "Spark"]}]}}, {"b": {"vacantes": [{"company": 1}]}}, {"b": None, "c": B}]
+    for n, step in enumerate(steps, 1):
+        for name, doc in step.items():
+            if doc is None:
+                (data / f"{name}.json").unlink()
+            else:
+                put(data, **{name: doc})
+        ingest.run_batch(spark, store, feeds.read_files(spark, str(data)), f"r{n}")
+        kept = {tuple(r) for r in ingest.frequencies(store.current("frequencies")).collect()}
+        assert kept == {tuple(r) for r in lexical.document_frequency(store.current("postings")).collect()}
+    run = store.begin()
+    run.fold("frequencies", ingest.frequencies, most=1)
+    run.commit()
+    assert {tuple(r) for r in store.current("frequencies").collect()} == kept and len(store.snapshot().tables["frequencies"].folders) == 1
+
+
+def test_raw_copies_of_rejected_files(spark, tmp_path):
+    data, store = tmp_path / "in", StateStore(spark, str(tmp_path / "s"), buckets=4)
+    data.mkdir()
+    run = lambda n: ingest.run_batch(spark, store, feeds.read_files(spark, str(data)), f"r{n}")
+    copies = lambda: {bytes(r["content"]): r["refs"] for r in store.current("raw").collect()}
+    put(data, a=b"{", b=b"{", c=b"\xff", d=A)
+    run(1)
+    assert copies() == {b"{": 2, b"\xff": 1}
+    put(data, b=A)
+    (data / "c.json").unlink()
+    run(2)
+    assert copies() == {b"{": 1, b"\xff": 0}
+    ingest.drop_unreferenced(store)
+    assert copies() == {b"{": 1}
+    put(data, e=b"\xff")
+    run(3)
+    assert copies() == {b"{": 1, b"\xff": 1}
+
+
+def test_stream_that_feeds_runs(spark, tmp_path, monkeypatch):
+    data, store = tmp_path / "in", StateStore(spark, str(tmp_path / "s"), buckets=4)
+    data.mkdir()
+    follow = lambda: ingest.follow(spark, store, feeds.named(ingest.file_stream(spark, str(data)), str(data)), str(tmp_path / "cp")).awaitTermination(120)
+    put(data, a=A)
+    follow()
+    put(data, b=B)
+    follow()
+    follow()
+    assert store.snapshot().batches == {"feed": 1} and store.current("merged").count() == 1 and store.current("sources").count() == 2
+    before, number = contents(store), store.snapshot().number
+    # A batch played again, its run having committed: nothing happens.
+    report = ingest.run_batch(spark, store, feeds.read_files(spark, str(data)), "again", partial=True, batch=("feed", 1))
+    assert report.status == "replayed" and store.snapshot().number == number and contents(store) == before
+    # The files that came are compared with their own entries only: others are not deleted.
+    put(data, c={**A, "vacancies": [{**A["vacancies"][0], "company": "Other"}]})
+    counts = ingest.run_batch(spark, store, feeds.read_files(spark, str(data), "c.json"), "r", partial=True).counts
+    assert (counts["new"], counts["deleted"], counts["active"]) == (1, 0, 2)
+
+
 def test_evidence_runs(spark, tmp_path, capsys):
     data, state_dir = tmp_path / "md", tmp_path / "state"
     data.mkdir()
@@ -206,10 +354,50 @@ def test_evidence_runs(spark, tmp_path, capsys):
     assert (third["modified"], third["impacted"], third["reindexed"]) == (1, 1, 1)
     terms = {r["term"] for r in store.current("evidence_postings").collect()}
     assert "flink" in terms and "kafka" not in terms and "python" in terms
-    put(tmp_path, a=A)
-    store.write("merged", feeds.adapt(feeds.check(feeds.envelope(feeds.read_files(spark, str(tmp_path), "*.json")))))
+    feed = tmp_path / "in"
+    feed.mkdir()
+    put(feed, a=A)
+    assert cli.main(["ingest", str(feed), str(state_dir), "--run-id", "r1"], spark) == 0
+    assert cli.main(["evidence", str(data), str(state_dir), "--run-id", "e6"], spark) == 0
+    capsys.readouterr()
     assert cli.main(["match", str(state_dir)], spark) == 0
     assert "n_requirements=1" in capsys.readouterr().out
     (data / "c.md").write_text(head.format("a") + "# Twice\nx\n")
     with pytest.raises(ValueError, match="several files"):
         run(4)
+    assert store.current("evidence_relations").count() == 1  # the state stays as it was
+
+
+def test_links_are_resolved_by_what_changed(spark, tmp_path):
+    """After adds, deletes and renames the relations are those drawn from all records; a run that dies changes nothing."""
+    data, store = tmp_path / "md", StateStore(spark, str(tmp_path / "state"), buckets=4)
+    (data / "x").mkdir(parents=True)
+
+    def page(name, record, *links):
+        body = f"---\nrecord_id: {record}\nrecord_type: project\nstatus: canonical\npublic_safe: true\n---\n# T {record} ACH-{record.upper()}-1\n"
+        (data / name).write_text(body + "".join(f"[l]({x})\n" for x in links))
+
+    def check(n, want):
+        counts = evidence.run_batch(spark, store, markdown.read_files(spark, str(data)), f"e{n}").counts
+        got = {tuple(r) for r in store.current("evidence_relations").collect()}
+        assert got == {tuple(r) for r in sections.relations(store.current("evidence_records")).collect()}
+        assert {r[2] for r in got if r[:2] == ("a", "links_to")} == want
+        kept = {tuple(r) for r in ingest.frequencies(store.current("evidence_frequencies")).collect()}
+        assert kept == {tuple(r) for r in lexical.document_frequency(store.current("evidence_postings")).collect()}
+        return counts
+
+    page("a.md", "a", "b.md", "x/c.md", "x/missing.md")
+    page("b.md", "b", "a.md")
+    assert check(1, {"b"})["relations"] == 4
+    page("x/c.md", "c", "../a.md")  # a file that a link waited for
+    assert check(2, {"b", "c"})["reindexed"] == 1
+    (data / "b.md").unlink()
+    assert check(3, {"c"})["deleted"] == 1
+    (data / "x/c.md").rename(data / "x/missing.md")  # another path, the same record
+    check(4, {"c"})
+    page("b.md", "z")  # another record at a path that was linked to
+    check(5, {"c", "z"})
+    page("b.md", "y")
+    check(6, {"c", "y"})
+    page("a.md", "a")
+    check(7, set())
