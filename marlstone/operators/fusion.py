@@ -5,6 +5,9 @@ Hits are rows ``(query_id, chunk_id, rank, score, ...)``; every operator takes a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,33 +56,106 @@ def _inner(text: Column, ends: bool = False) -> Column:
     return F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))) if ends else w)
 
 
+def _automaton(words: list[str]):
+    """Aho-Corasick: (next node by sign, node to fall back to, ends) of each node; ends are the words that end there, the node's own first, then by the fall-backs."""
+    steps: list[dict[str, int]] = [{}]
+    own: list[int] = [-1]
+    for i, word in enumerate(words):
+        at = 0
+        for sign in word:
+            if sign not in steps[at]:
+                steps[at][sign] = len(steps)
+                steps.append({})
+                own.append(-1)
+            at = steps[at][sign]
+        own[at] = i
+    back, chain = [0] * len(steps), [0] * len(steps)
+    todo = list(steps[0].values())
+    for at in todo:  # grows as nodes are reached, breadth first
+        for sign, to in steps[at].items():
+            f = back[at]
+            while f and sign not in steps[f]:
+                f = back[f]
+            back[to] = steps[f].get(sign, 0)
+            todo.append(to)
+        chain[at] = back[at] if own[back[at]] >= 0 else chain[back[at]]
+    return steps, back, own, chain
+
+
+def _found(text: str, automaton) -> set[int]:
+    """Words of the automaton that the text contains."""
+    steps, back, own, chain = automaton
+    out: set[int] = set()
+    at = 0
+    for sign in text:
+        while at and sign not in steps[at]:
+            at = back[at]
+        at = steps[at].get(sign, 0)
+        end = at if own[at] >= 0 else chain[at]
+        while end and own[end] not in out:
+            out.add(own[end])
+            end = chain[end]
+    return out
+
+
+def contained(texts: DataFrame, words: DataFrame, key: str, text: str, word: str, block_signs: int = 1 << 20) -> DataFrame:
+    """``(key, word)``, distinct a row of ``texts``: the words of ``words(word)`` that its text contains anywhere. Empty and null words are in none.
+
+    Words come to the driver in blocks of about ``block_signs`` signs, told by a hash; each block is an automaton that every task builds once, and a pass of Arrow batches over
+    whole texts, linear in their length however many words there are."""
+    distinct = words.select(word).filter(F.length(word) > 0).distinct()
+    signs = distinct.agg(F.sum(F.length(word))).first()[0] or 0
+    blocks = max(1, -(-signs // block_signs))
+    rows = texts.select(key, text).filter(F.col(text).isNotNull())
+    kind = rows.schema[key].dataType.simpleString()
+
+    def scanning(few: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(few)
+            for batch in batches:
+                hits = [sorted(_found(t, automaton)) for t in batch.column(1).to_pylist()]
+                row = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([few[w] for h in hits for w in h], pa.string())], [key, word])
+
+        return run
+
+    out = None
+    for i in range(blocks):
+        few = sorted(r[0] for r in distinct.filter(F.pmod(F.xxhash64(word), F.lit(blocks)) == i).collect())
+        part = rows.mapInArrow(scanning(few), f"`{key}` {kind}, `{word}` string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(query_id, record_id)`` of ``docs(record_id, body)`` that contain the text of ``items(query_id, text)`` as it is.
+    """``(query_id, record_id)`` of ``docs(record_id, body)`` that contain the text of ``items(query_id, text)`` as it is; an empty item is in every text.
 
     Items of four words or more meet the documents on their rarest inner word, then containment decides; texts are split at
-    single spaces on both sides, so whatever contains the text holds each inner word as a word. Shorter items are held against all
-    documents, by a nested loop over those few items."""
+    single spaces on both sides, so whatever contains the text holds each inner word as a word. Shorter items are a vocabulary, found by ``contained``."""
     said = items.withColumn("inner", _inner(F.col("text"), ends=True))
-    long, short = said.filter(F.size("inner") > 1), said.filter(F.size("inner") <= 1)
+    long, short = said.filter(F.size("inner") > 1), said.filter((F.size("inner") <= 1) & (F.col("text") != ""))
     wanted = long.select("query_id", F.explode("inner").alias("w"))
     words = docs.select("record_id", F.explode(_inner(F.col("body"))).alias("w")).join(wanted.select("w").distinct(), "w", "left_semi")
     often = words.groupBy("w").agg(F.count("*").alias("n"))
     rare = wanted.join(often, "w", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
     met = words.join(rare, "w").select("query_id", "record_id").join(items, "query_id").join(docs, "record_id")
     found = met.filter(F.contains("body", "text")).select("query_id", "record_id")
-    return found.unionByName(short.join(docs, F.contains("body", "text")).select("query_id", "record_id"))
+    brief = contained(docs, short.select("text"), "record_id", "body", "text").join(short.select("query_id", "text"), "text").select("query_id", "record_id")
+    blank = items.filter("text = ''").select("query_id", F.lit(1).alias("one")).join(docs.filter("body is not null").select("record_id", F.lit(1).alias("one")), "one").select("query_id", "record_id")
+    return found.unionByName(brief).unionByName(blank)
 
 
 def anchors(queries: DataFrame, chunks: DataFrame, limit: int, skill_record: str = "skills", role_prefix: str = "role-") -> DataFrame:
     """``(query_id, chunk_id, pos, reason)``: chunks that a query names, then, for queries about a length of time,
     role chunks with a period, canonical ones first.
 
-    A title may begin or end within a word of the query, so titles are distinct first and meet the queries in a nested
-    loop: skill titles are a vocabulary, not a corpus. Of the role chunks only the first ``limit`` can be used by any query; they are
-    taken first and joined to the queries that ask for a length of time."""
+    A title may begin or end within a word of the query, so titles are found by ``contained``. Of the role chunks only the first ``limit`` can be used by any
+    query; they are taken first and joined to the queries that ask for a length of time."""
     q = queries.select("query_id", search_text(F.col("text")).alias("q"))
     skills = chunks.filter((F.col("record_id") == skill_record) & (F.col("chunk_type") == "skill")).withColumn("title", search_text(F.substring_index("text", "\n", 1)))
-    named = skills.filter(F.length("title") >= 2).join(q, F.contains(F.col("q"), F.col("title"))).select("query_id", "chunk_id", F.lit(0).alias("prio"), F.lit("exact_named_skill").alias("reason"))
+    titled = skills.filter(F.length("title") >= 2)
+    met = contained(q, titled.select("title"), "query_id", "q", "title").join(titled.select("title", "chunk_id"), "title")
+    named = met.select("query_id", "chunk_id", F.lit(0).alias("prio"), F.lit("exact_named_skill").alias("reason"))
     asks = q.filter(F.arrays_overlap(F.split("q", " "), F.array(*[F.lit(w) for w in DURATION_WORDS])))
     body = search_text(F.col("text"))
     roles = chunks.filter(F.col("record_id").startswith(role_prefix) & (F.col("chunk_type") == "role_detail")).filter(F.contains(body, F.lit("period")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import dense, fusion, lexical
+from . import fusion, search
 from .matching import resolve_mode
 
 Reranker = Callable[[DataFrame], DataFrame]
@@ -18,7 +18,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, dense_hits: DataFrame, relatio
     """``(query_id, chunk_id, pos, score, retrieval_source)``: fusion of the first ``candidates`` of each side, anchors before it, one-hop additions after it.
 
     ``chunks(chunk_id, record_id, chunk_type, text)``; positions within a record follow the chunk id."""
-    lex = lexical.top_k(lexical.raw_scores(chunks, queries), candidates)
+    lex = search.lexical_top_k(chunks, queries, candidates, weighted=False)
     fused = fusion.reciprocal_rank_fusion(lex, dense_hits.filter(F.col("rank") <= candidates), k)
     hits = fusion.inject(fused, fusion.anchors(queries, chunks, fusion.max_anchors(k)))
     if relations is None:
@@ -39,12 +39,12 @@ def retrieve(
     Expansion is cut by k again where enough was fused before it; that is meant. ``rerank`` takes hits and gives verdicts."""
     mode = resolve_mode(mode, vectors is not None)
     if mode == "lexical":
-        hits = lexical.top_k(lexical.raw_scores(chunks, queries), k)
+        hits = search.lexical_top_k(chunks, queries, k, weighted=False)
         return hits.select("query_id", "chunk_id", F.col("rank").alias("pos"), "score", F.lit("lexical").alias("retrieval_source"))
     if vectors is None or query_vectors is None:
         raise ValueError(f"mode {mode!r} needs vectors of chunks and queries")
     candidates = max(20, 3 * k)
-    near = lexical.top_k(dense.cosine_scores(vectors, query_vectors, None), candidates)
+    near = search.dense_top_k(vectors, query_vectors, candidates, None)
     reranked = mode == "hybrid-rerank"
     hits = hybrid(queries, chunks, near, relations, max(k, 10) if reranked else k, candidates)
     if not reranked:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import dense, evals, fusion, lexical
+from ..operators import evals, fusion, lexical, search
 from .registry import registry
 from .sqlkit import fold, table, tokens
 
@@ -59,16 +59,14 @@ def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TFIDF_SQL.format(n=50)} SELECT query_id, chunk_id, score, rank FROM lex WHERE rank <= 10")
 def lexical_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.tfidf_scores(_docs(spark, sf_dir), asked(spark, sf_dir))
-    return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
+    return search.lexical_top_k(_docs(spark, sf_dir), asked(spark, sf_dir), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
 @query(f"""WITH p AS ({POSTINGS_SQL}), q AS ({TERMS_SQL.format(n=50)}),
 s AS (SELECT query_id, chunk_id, CAST(sum((1 + tf) * qtf) AS DOUBLE) AS score FROM p JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""")
 def lexical_raw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.raw_scores(_docs(spark, sf_dir), asked(spark, sf_dir))
-    return lexical.top_k(scores, 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
+    return search.lexical_top_k(_docs(spark, sf_dir), asked(spark, sf_dir), 8, weighted=False).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +79,12 @@ def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, chunk_id, score, rank FROM den WHERE rank <= 10")
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = dense.cosine_scores(vectors(spark, sf_dir), asked_vectors(spark, sf_dir))
-    return lexical.top_k(scores, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
+    return search.dense_top_k(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
 def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, aimed: DataFrame, k: int) -> DataFrame:
-    lex = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 20)
-    den = lexical.top_k(dense.cosine_scores(vectors(spark, sf_dir), aimed), 20)
+    lex = search.lexical_top_k(_docs(spark, sf_dir), items, 20)
+    den = search.dense_top_k(vectors(spark, sf_dir), aimed, 20)
     out = fusion.reciprocal_rank_fusion(lex, den, k)
     return out.select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("bigint"), F.col("dense_rank").cast("bigint"), "retrieval_source")
 
@@ -167,7 +164,7 @@ def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
-    hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 12).withColumnRenamed("rank", "pos")
+    hits = search.lexical_top_k(_docs(spark, sf_dir), items, 12).withColumnRenamed("rank", "pos")
     support = F.when(F.col("chunk_id") % 3 == 0, "direct").when(F.col("chunk_id") % 3 == 1, "related").otherwise("none")
     verdicts = hits.select("query_id", "chunk_id", F.col("pos").alias("verdict_pos"), ((F.col("chunk_id") * 37 + F.col("query_id")) % 101).cast("int").alias("relevance"), support.alias("support"), F.lit("stated").alias("reason"))
     out = fusion.apply_rerank(hits, verdicts, 6)
@@ -194,7 +191,7 @@ def eval_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item is a case; a document that contains it is expected."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("body"))
-    hits = lexical.top_k(lexical.tfidf_scores(_docs(spark, sf_dir), items), 6).select("query_id", "chunk_id", F.col("rank").alias("pos"), F.col("chunk_id").alias("record_id"))
+    hits = search.lexical_top_k(_docs(spark, sf_dir), items, 6).select("query_id", "chunk_id", F.col("rank").alias("pos"), F.col("chunk_id").alias("record_id"))
     # An expected hit only counts if it is found, so only documents among the hits and those that share the item's words can be one.
     relevant = fusion.containing(docs, items).select("query_id", "record_id", F.lit("expected").alias("kind"))
     cases = items.select("query_id", F.lit(False).alias("negative"), F.lit(None).cast("string").alias("max_proficiency"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import numbers, plain_number
-from ..operators import chunks, fitting, lexical, matching, queue, sections, telemetry, validators
+from ..operators import chunks, fitting, matching, queue, search, sections, telemetry, validators
 from ..sources.state import work_dir
 from .registry import registry
 from .retrieval import POSTINGS_SQL
@@ -103,8 +103,8 @@ def hits_of_requirements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     """All requirements, and the documents that answer each best."""
     reqs = matching.requirements(_records(spark, sf_dir)).withColumn("q", F.struct("vacancy_id", "req_pos"))
     docs = table(spark, sf_dir, "documents")
-    scores = lexical.raw_scores(docs.select(F.col("doc_id").alias("chunk_id"), "text"), reqs, query_id="q", query_text="requirement")
-    hits = lexical.top_k(scores.withColumnRenamed("query_id", "query_id"), 5).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("record_id")), "chunk_id")
+    best = search.lexical_top_k(docs.select(F.col("doc_id").alias("chunk_id"), "text"), reqs, 5, weighted=False, query_id="q", query_text="requirement")
+    hits = best.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("record_id")), "chunk_id")
     even = F.col("chunk_id") % 2 == 0
     level = F.when(even, F.when(F.col("chunk_id") % 4 == 2, "working").otherwise("familiarity"))
     hits = hits.select(
