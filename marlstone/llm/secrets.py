@@ -173,16 +173,33 @@ def stretches(text: str, model: Markov, threshold: float) -> list[tuple[int, int
     return out
 
 
+def outside(found: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of ``found``, disjoint and in order, that no span of ``base``, in order of start, covers."""
+    covered: list[list[int]] = []
+    for s, e, _ in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    out, i = [], 0
+    for a, b in found:
+        while i < len(covered) and covered[i][1] <= a:
+            i += 1
+        j, at = i, a
+        while j < len(covered) and covered[j][0] < b:
+            if covered[j][0] > at:
+                out.append((at, covered[j][0]))
+            at, j = max(at, covered[j][1]), j + 1
+        if at < b:
+            out.append((at, b))
+        i = max(i, j - 1)
+    return out
+
+
 def all_spans(text: str, model: Markov, threshold: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and base and model spans together, each by start."""
-    base, more = base_spans(text), []
-    reach, at = 0, 0  # base spans may overlap: the furthest end of those that begin before a stretch ends
-    for a, b in stretches(text, model, threshold):
-        while at < len(base) and base[at][0] < b:
-            reach = max(reach, base[at][1])
-            at += 1
-        if reach <= a:
-            more.append((a, b, "random"))
+    """Base spans, and base and model spans together, each by start. Of a stretch that meets base spans the parts outside them are spans of the model."""
+    base = base_spans(text)
+    more = [(a, b, "random") for a, b in outside(stretches(text, model, threshold), base)]
     return base, sorted(base + more, key=lambda x: x[0]) if more else base
 
 
@@ -217,7 +234,7 @@ def scan(docs: DataFrame, model: Markov, doc_id: str = "doc_id", text: str = "te
 
 
 def redact(docs: DataFrame, model: Markov, text: str = "text", length: str | None = "n_chars", mask: str = "[secret]", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with each stretch of overlapping spans replaced by ``mask``; ``length``, if present, is set anew where
+    """``docs`` with each stretch of overlapping or touching spans replaced by ``mask``; ``length``, if present, is set anew where
     the text changed. All columns, their order and all rows stay."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -231,11 +248,11 @@ def redact(docs: DataFrame, model: Markov, text: str = "text", length: str | Non
                 t = t.as_py()
                 spans = all_spans(t, shared.value, threshold)[1] if t else []
                 if spans:
-                    out, at = [], 0
+                    out, at, last = [], 0, -1
                     for s, e, _ in spans:
-                        if s >= at:
+                        if s > last:
                             out += [t[at:s], mask]
-                        at = max(at, e)
+                        at = last = max(at, e)
                     t = "".join([*out, t[at:]])
                     if lengths:
                         lengths[i] = len(t)
