@@ -55,22 +55,24 @@ class Density:
                 raise ValueError(f"min_{what} exceeds max_{what}")
 
 
+#: Which token takes which token's colour, by the part of the brand and the use that a review allows it.
+RESTYLED = {
+    ("primary", "accents_only"): {"accent": "primary", "primary": "text"},
+    ("secondary", "accents_only"): {"secondary": "muted"},
+    ("secondary", "sidebar_background"): {"primary": "secondary"},
+}
+#: What a review must say before its document is styled.
+REVIEWED = {"decision": "PASS", "ats_safe": True, "print_safe": True, "preserve_template": False}
+
+
 def adapt_style(tokens: Mapping[str, str], review: Mapping[str, object] | None) -> dict[str, str]:
-    """Tokens as a design review restricts them; no colour is made up, safe ones are used instead."""
-    style = dict(tokens)
+    """Tokens with the exchanges of ``RESTYLED`` that the review calls for, each from the tokens as given; later parts win."""
     if review is None:
-        return style
-    if review.get("decision") != "PASS" or not review.get("ats_safe") or not review.get("print_safe"):
-        raise ValueError("the design review has not passed")
-    if review.get("preserve_template"):
-        raise ValueError("preserve_template is for locked templates")
-    if review.get("primary_usage") == "accents_only":
-        style |= {"accent": tokens["primary"], "primary": tokens["text"]}
-    if review.get("secondary_usage") == "accents_only":
-        style["secondary"] = tokens["muted"]
-    elif review.get("secondary_usage") == "sidebar_background":
-        style["primary"] = tokens["secondary"]
-    return style
+        return dict(tokens)
+    if wrong := [name for name, value in REVIEWED.items() if (review.get(name) or False) != value]:
+        raise ValueError(f"a review that can't style a document: {', '.join(wrong)}")
+    taken = {to: source for (part, use), moves in RESTYLED.items() if review.get(f"{part}_usage") == use for to, source in moves.items()}
+    return {name: tokens[taken.get(name, name)] for name in {**tokens, **taken}}
 
 
 def render_gate(locked: bool, contrast_passed: bool, brand_verified: bool, live_review: bool) -> None:
