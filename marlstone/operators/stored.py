@@ -1,10 +1,10 @@
 """A stored lexical index: posting lists in blocks by impact, each with a bound, and exact top-k searches that stop early.
 
 Chunks are dealt to shards by a hash of their id, so the list of a word, however frequent, is cut to as many pieces as there are shards. A piece is
-ordered by times in the chunk (greatest first, then id) and cut to blocks of ``BLOCK`` postings; a block's row holds its greatest count. Rows lie in folders by a hash of
-the word, ``PARTS`` of them, in files of ``PACK`` shards ordered by (shard, word, block): a search opens the folders of its words and reads their rows only.
+ordered by times in the chunk (greatest first, then id) and cut to blocks of ``BLOCK`` postings; a block's row holds its place in the list and its greatest count. Rows lie in folders by a hash of
+the word, ``PARTS`` of them, in files of ``PACK`` shards ordered by (shard, word, place): a search opens the folders of its words and reads their rows only.
 
-    blocks(part, shard, term, block, top, ids, tfs)     terms(part, term, df)     size(n, parts, block, kind)
+    blocks(part, shard, term, at, top, ids, tfs)     terms(part, term, df)     size(n, shards, parts, block, kind)
 
 ``size`` is written last: an index without it can't be opened, so a build that dies leaves nothing that a reader takes for an index.
 
@@ -28,6 +28,8 @@ from .search import _blocks, _merged
 
 #: Postings a block, chunks a shard, folders of words, shards a file, queries a pass.
 BLOCK, SHARD, PARTS, PACK, QUERIES = 64, 8192, 16, 64, 2048
+#: A query's postings in a shard that are read in one round.
+FEW = 1 << 13
 #: Sums in another order may differ by so much; chunks this near to a limit are kept, as equal scores go by id.
 SLACK = 1e-5
 
@@ -50,6 +52,30 @@ def _counting():
     return run
 
 
+def _cutting(block: int):
+    """Blocks of lists that come in order. A block ends with its batch too, so it may be shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0  # the list that the batch before ended in, and how much of it is out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, term = batch.column(1).to_numpy(), batch.column(2)
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[1:] = (shard[1:] != shard[:-1]) | pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(fresh)
+            place = np.arange(batch.num_rows) - np.repeat(first, np.diff(np.append(first, batch.num_rows)))
+            if (shard[0], term[0].as_py()) == last:
+                place[: first[1] if len(first) > 1 else batch.num_rows] += done
+            cut = np.flatnonzero(fresh | (place % block == 0))
+            ends, heads = pa.array(np.append(cut, batch.num_rows).astype(np.int32)), pa.array(cut)
+            ids, tfs = (pa.ListArray.from_arrays(ends, batch.column(i)) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(heads) for i in range(3)), pa.array(place[cut]), batch.column(4).take(heads), ids, tfs], ["part", "shard", "term", "at", "top", "ids", "tfs"])
+            last, done = (shard[-1], term[-1].as_py()), int(place[-1]) + 1
+
+    return run
+
+
 def build(chunks: DataFrame, path: str, chunk_id: str = "chunk_id", text: str = "text", shard: int = SHARD, block: int = BLOCK, parts: int = PARTS) -> str:
     """Writes the index of ``chunks`` (ids are unique; rows without an id are not found) to the new folder ``path``: one pass over the texts, one shuffle of postings."""
     spark = chunks.sparkSession
@@ -61,14 +87,13 @@ def build(chunks: DataFrame, path: str, chunk_id: str = "chunk_id", text: str =
     postings = said.mapInArrow(_counting(), f"chunk_id {kind}, term string, tf long")
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
     dealt = dealt.withColumn("pack", F.col("shard") % packs).repartition(packs * parts, "part", "pack")
-    lists = dealt.groupBy("part", "pack", "shard", "term").agg(F.sort_array(F.collect_list(F.struct((-F.col("tf")).alias("t"), "chunk_id"))).alias("p"))
-    cut = lists.select("part", "shard", "term", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("p"), F.lit(block)), lambda i: F.slice("p", i, block))).alias("block", "p"))
-    rows = cut.select("part", "shard", "term", "block", (-F.col("p")[0]["t"]).alias("top"), F.col("p.chunk_id").alias("ids"), F.transform("p.t", lambda t: -t).alias("tfs"))
-    rows.sortWithinPartitions("part", "shard", "term", "block").write.partitionBy("part").parquet(f"{path}/blocks")
-    schema = f"shard int, term string, block int, top long, ids array<{kind}>, tfs array<long>, part int"
+    ordered = dealt.sortWithinPartitions("part", "shard", "term", F.desc("tf"), "chunk_id").select("part", "shard", "term", "chunk_id", "tf")
+    rows = ordered.mapInArrow(_cutting(block), f"part int, shard int, term string, at long, top long, ids array<{kind}>, tfs array<long>")
+    rows.write.partitionBy("part").parquet(f"{path}/blocks")
+    schema = f"shard int, term string, at long, top long, ids array<{kind}>, tfs array<long>, part int"
     found = spark.read.schema(schema).parquet(f"{path}/blocks").groupBy("part", "term").agg(F.sum(F.size("ids")).alias("df"))
     found.repartition(parts, "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/terms")
-    spark.createDataFrame([(n, parts, block, kind)], "n long, parts int, block int, kind string").coalesce(1).write.parquet(f"{path}/size")
+    spark.createDataFrame([(n, shards, parts, block, kind)], "n long, shards int, parts int, block int, kind string").coalesce(1).write.parquet(f"{path}/size")
     return path
 
 
@@ -92,10 +117,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Shard:
     """Postings of the asked words in one shard: by word in order of impact, and by chunk."""
 
-    def __init__(self, asked: Asked, rows: pa.Table, block: int):
-        self.block, n = block, len(asked.words)
+    def __init__(self, asked: Asked, rows: pa.Table, block: int, few: int = FEW):
+        self.block, self.few, n = block, few, len(asked.words)
         word = pc.index_in(rows["term"], value_set=pa.array(asked.words, pa.string())).to_numpy().astype(np.int64)
-        order = np.lexsort((rows["block"].to_numpy(), word))
+        order = np.lexsort((rows["at"].to_numpy(), word))
         rows, word = rows.take(pa.array(order)), word[order]
         word = np.repeat(word, pc.list_value_length(rows["ids"]).to_numpy())
         ids, tfs = pc.list_flatten(rows["ids"]).combine_chunks(), pc.list_flatten(rows["tfs"]).to_numpy().astype(np.float64)
@@ -116,7 +141,8 @@ class Shard:
         if not len(words):
             return words, often
         at, end = self.start[words].copy(), self.start[words + 1]
-        partial, step = np.zeros(len(self.ids)), np.full(len(words), self.block)
+        short = (end - at).sum() <= self.few  # read at once, as rounds would cost more than they leave out
+        partial, step = np.zeros(len(self.ids)), (end - at if short else np.full(len(words), self.block))
         deep = np.ones(len(words), bool)
         while True:
             to = np.where(deep, np.minimum(at + step, end), at)
@@ -131,12 +157,17 @@ class Shard:
                 break
             deep = bound * 2 >= bound.max()
         able = np.flatnonzero((partial > 0) & (partial + rest + SLACK >= limit))
+        if rest == 0:
+            return self._first(able, partial[able], k, digits)
         self.scored += len(able)
         self.times[words] = often
         some = _ranges(self.of_chunk[able], self.of_chunk[able + 1])
         owner = np.repeat(np.arange(len(able)), self.of_chunk[able + 1] - self.of_chunk[able])
         score = np.bincount(owner, self.chunk_weight[some] * self.times[self.chunk_word[some]], len(able))
         self.times[words] = 0.0
+        return self._first(able, score, k, digits)
+
+    def _first(self, able: np.ndarray, score: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
         score = score if digits is None else np.round(score, digits)
         able, score = able[score > 0], score[score > 0]
         first = np.argsort(-score, kind="stable")[:k]
@@ -160,8 +191,9 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int, weighted:
     size = spark.read.parquet(f"{path}/size").first()
     asked = queries.select(F.col(query_id).alias("query_id"), tokens(F.col(query_text)).alias("w"))
     query_kind = asked.schema["query_id"].dataType.simpleString()
-    stored = spark.read.schema(f"shard int, term string, block int, top long, ids array<{size['kind']}>, tfs array<long>, part int").parquet(f"{path}/blocks")
+    stored = spark.read.schema(f"shard int, term string, at long, top long, ids array<{size['kind']}>, tfs array<long>, part int").parquet(f"{path}/blocks")
     counts = spark.read.schema("term string, df long, part int").parquet(f"{path}/terms")
+    tasks = min(2 * size["shards"], 16 * spark.sparkContext.defaultParallelism)  # by number: small shuffles would be joined to one task
     passes = []
     for rows in _blocks(asked, queries_a_pass):
         words = sorted({w for r in rows for w in r["w"]})
@@ -174,6 +206,6 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int, weighted:
         words = sorted(known)
         idf = np.log((max(size["n"], 1) + 1) / (np.array([known[w] for w in words], np.float64) + 1)) + 1.0 if weighted else None
         task = _searching(Asked(words, idf, [r["w"] for r in rows]), k, digits if weighted else None, size["block"])
-        found = near(stored).select("shard", "term", "block", "ids", "tfs").groupBy("shard").applyInArrow(task, f"q int, chunk_id {size['kind']}, score double")
+        found = near(stored).select("shard", "term", "at", "ids", "tfs").repartition(tasks, "shard").groupBy("shard").applyInArrow(task, f"q int, chunk_id {size['kind']}, score double")
         passes.append((found, [r["query_id"] for r in rows]))
     return _merged(passes, query_kind, k) if passes else spark.createDataFrame([], f"query_id {query_kind}, chunk_id {size['kind']}, score double, rank int")

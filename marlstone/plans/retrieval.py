@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evals, fusion, lexical, search
+from ..operators import evals, fusion, lexical, search, stored
+from ..sources.state import work_dir
 from .registry import registry
 from .sqlkit import fold, table, tokens
 
@@ -82,8 +85,7 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense_top_k(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint"))
 
 
-def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, aimed: DataFrame, k: int) -> DataFrame:
-    lex = search.lexical_top_k(_docs(spark, sf_dir), items, 20)
+def _fuse(spark: SparkSession, sf_dir: str, lex: DataFrame, aimed: DataFrame, k: int) -> DataFrame:
     den = search.dense_top_k(vectors(spark, sf_dir), aimed, 20)
     out = fusion.reciprocal_rank_fusion(lex, den, k)
     return out.select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("bigint"), F.col("dense_rank").cast("bigint"), "retrieval_source")
@@ -91,12 +93,15 @@ def _fuse(spark: SparkSession, sf_dir: str, items: DataFrame, aimed: DataFrame,
 
 @query(f"WITH {TFIDF_SQL.format(n=50)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 8")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuse(spark, sf_dir, asked(spark, sf_dir), asked_vectors(spark, sf_dir), 8)
+    return _fuse(spark, sf_dir, search.lexical_top_k(_docs(spark, sf_dir), asked(spark, sf_dir), 20), asked_vectors(spark, sf_dir), 8)
 
 
-@query(f"WITH {TFIDF_SQL.format(n=50)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 10")
+@query(f"WITH {TFIDF_SQL.format(n=1)}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, chunk_id, rank, round(score, 9) AS score, lexical_rank, dense_rank, retrieval_source FROM fused WHERE rank <= 10")
 def rrf_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuse(spark, sf_dir, asked(spark, sf_dir), asked_vectors(spark, sf_dir), 10)
+    """Every benchmark item as a query, its words read from a stored index that is built here."""
+    path = stored.build(_docs(spark, sf_dir), f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _fuse(spark, sf_dir, stored.top_k(spark, path, items, 20), asked_vectors(spark, sf_dir), 10)
 
 
 #: Parts stand for queries, the kinds of part that names end in for skills, suppliers for roles.
