@@ -1,7 +1,6 @@
 """Text scalars as column expressions: folding, tokens, cleaning, URLs, slugs, fields.
 
-All of them stay in the JVM. Accent folding is a character table derived by rule from Unicode decompositions of the Latin
-blocks (exact NFKD of other scripts is not attempted); combining marks of input that is already decomposed are dropped.
+All of them stay in the JVM. Folding is full: tables derived by rule from Unicode decompositions and case foldings of all scripts.
 """
 
 from __future__ import annotations
@@ -30,24 +29,90 @@ TRUE_WORDS = ("true", "yes", "approved")
 
 
 @functools.cache
-def fold_table() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their letters without: by decomposition, U+00C0 to U+024F and U+1E00 to U+1EFF."""
-    src, dst = [], []
-    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        c = chr(cp).lower()
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(c) == 1 and len(plain) == 1 and plain != c and c not in src:
-            src.append(c)
-            dst.append(plain)
-    return "".join(src), "".join(dst)
+def fold_table() -> dict[str, str]:
+    """What each code point beyond ASCII folds to, where that differs from itself: compatibility decomposition, marks of a combining class dropped, then case folding.
+
+    Hangul syllables are left out, being arithmetic. As marks are dropped, their order doesn't count, so a text folds sign by sign.
+    """
+    out = {}
+    for cp in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):
+        c = chr(cp)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if plain != c:
+            out[c] = plain
+    return out
+
+
+#: Signs of long foldings that are frequent in texts; they are replaced beforehand, so that such texts keep to the table of single signs.
+FREQUENT = ("ß", "…", "™")
+
+
+@functools.cache
+def _single_signs() -> tuple[str, str]:
+    """Signs that fold to one sign, with those, followed by signs that are dropped (translate drops what has no partner)."""
+    table = fold_table()
+    one = [c for c in table if len(table[c]) == 1]
+    return "".join([*map(chr, range(65, 91)), *one, *(c for c in table if not table[c])]), "".join([*map(chr, range(97, 123)), *(table[c] for c in one)])
+
+
+@functools.cache
+def _long_signs() -> tuple[str, tuple[tuple[str, str], ...]]:
+    """A class of the signs that fold to several, and for each place of the result the signs with their letter there; signs whose folding is over come last and are dropped."""
+    table = {c: t for c, t in fold_table().items() if len(t) > 1 and c not in FREQUENT}
+    spans: list[list[int]] = []
+    for cp in sorted(map(ord, table)):
+        if spans and spans[-1][1] == cp - 1:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    signs = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+    deep = sorted(table, key=lambda c: -len(table[c]))
+    return signs, tuple(("".join(deep), "".join(table[c][i] for c in deep if len(table[c]) > i)) for i in range(len(table[deep[0]])))
+
+
+LATIN = 0x180
+
+
+@functools.cache
+def _latin() -> tuple[str, str, str]:
+    """For the first Latin blocks: a short class, quick to test, of all that is not for the small table, and the table of lower-case signs
+    with their letters. Dashes and quotation marks that fold to themselves are let through; the last sign of the table is the dot that lowering leaves of a dotted capital i."""
+    table = {c: t for c, t in fold_table().items() if ord(c) < LATIN and c != "ß"}
+    odd = [c for c, t in table.items() if len(t) > 1]
+    one = [c for c, t in table.items() if len(t) == 1]
+    signs = "[" + "".join(odd) + rf"\x{{{LATIN:x}}}-\x{{200f}}\x{{2011}}\x{{2017}}\x{{2024}}-\x{{10ffff}}]"
+    return signs, "".join(one) + "\u0307", "".join(table[c] for c in one)
+
+
+# Of the Unicode standard: syllables are their first one plus (initial * 21 + vowel) * 28 + final.
+SYLLABLES = r"[\x{ac00}-\x{d7a3}]"
+INITIALS, VOWELS, FINALS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def _fold_sign(x: Column) -> Column:
+    """A sign folded."""
+    signs, places = _long_signs()
+    n = F.ascii(x) - 0xAC00
+    at = lambda letters, i: F.substr(F.lit(letters), i.cast("int"), F.lit(1))
+    final = n % 28
+    syllable = F.concat(at(INITIALS, F.floor(n / 588) + 1), at(VOWELS, F.floor(n % 588 / 28) + 1), F.when(final > 0, at(FINALS, final)).otherwise(F.lit("")))
+    long = F.concat(*[F.translate(x, src, dst) for src, dst in places])
+    return F.when(x.rlike(SYLLABLES), syllable).when(x.rlike(signs), long).otherwise(F.translate(x, *_single_signs()))
 
 
 def fold(c: Column) -> Column:
-    """Case and accents folded; sharp s is two letters."""
-    src, dst = fold_table()
-    low = F.lower(c)
-    marked = F.replace(F.translate(F.regexp_replace(low, r"\p{M}", ""), src, dst), F.lit("ß"), F.lit("ss"))
-    return F.when(F.octet_length(c) == F.length(c), low).otherwise(marked)
+    """Case and accents folded: equal to NFKD without combining marks, case-folded, on all code points; null stays null.
+
+    ASCII is only lowered; texts whose signs each fold to one sign or none go through one table; only others are cut into signs.
+    """
+    table, plain = fold_table(), c
+    for sign in FREQUENT:
+        plain = F.replace(plain, F.lit(sign), F.lit(table[sign]))
+    cut = F.array_join(F.transform(F.split(plain, ""), _fold_sign), "")
+    signs = "[" + _long_signs()[0][1:-1] + SYLLABLES[1:-1] + "]"
+    other, src, dst = _latin()
+    latin = F.replace(F.translate(F.lower(c), src, dst), F.lit("ß"), F.lit("ss"))
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(~c.rlike(other), latin).when(plain.rlike(signs), cut).otherwise(F.translate(plain, *_single_signs()))
 
 
 def squeeze(c: Column) -> Column:

@@ -70,3 +70,17 @@ def test_vectors(spark):
 
 def test_contrast(spark):
     assert round(one(spark, color.contrast(F.lit("#000000"), F.lit("#ffffff"))), 2) == 21.0
+
+
+def test_fold_equals_full_decomposition_on_all_code_points(spark):
+    """Each code point alone and within a text, against the standard library."""
+    import unicodedata
+
+    def brute(s):
+        return "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x)).casefold()
+
+    rows = [(chr(cp), "Aé" + chr(cp) + "ß…Σ") for cp in range(1, 0x110000) if not 0xD800 <= cp < 0xE000 and unicodedata.category(chr(cp)) not in ("Cn", "Co")]
+    rows += [("", None), ("각éﬃ" * 3000, "ΑΣ Σας ﷺ")]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(8)
+    wrong = [(r["a"], r["fa"]) for r in df.select("a", "b", text.fold(F.col("a")).alias("fa"), text.fold(F.col("b")).alias("fb")).toLocalIterator() if r["fa"] != brute(r["a"]) or r["fb"] != (None if r["b"] is None else brute(r["b"]))]
+    assert not wrong, wrong[:20]
