@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities, feeds, gates, retrieval, workflow
+from . import entities, evidence, feeds, gates, retrieval, workflow
 
-MODULES = (retrieval, entities, feeds, gates, workflow)
+MODULES = (retrieval, entities, feeds, gates, workflow, evidence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
