@@ -1,17 +1,16 @@
 """Fitting ordered content to a budget of lines: line units, page packing, pruning from the tail.
 
-Line counting is a column expression. Packing and pruning go item by item, as an item that is skipped adds nothing: packing
-folds over an ordered array; pruning runs a document at a time in a grouped map, documents being small and many.
+Line counting is a column expression. Packing goes item by item, as an item that is skipped adds nothing: it folds over an
+ordered array. Pruning needs no such walk: sums over the rows in the order of leaving decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from math import ceil
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.text import strip
 
 
 def text_lines(text: Column, per_line: int) -> Column:
@@ -46,31 +45,30 @@ def prune(items: DataFrame, by: str, budget: int, least: dict[str, int] | None =
     """Adds ``omitted`` and ``reason`` to ``items(by, section, pos, text, sticky)``.
 
     Over budget, items go from the tail, section by section in the order of PRIORITY; sticky ones and the least number of
-    a section stay. Omission stops as soon as the rest fits.
+    a section stay. Omission stops as soon as the rest fits. Lines count with one more for each section that has an item left.
+
+    What may go in all is known beforehand: of a section the last items that aren't sticky, down to its least number. In the order of
+    leaving, an item goes if what is over the budget is more than those before it free; so sums of the rows before it decide, and
+    no document is held as a whole. Ties of ``pos`` leave in the order of text, the later first; null is not sticky; a null or
+    other section loses nothing, a null one has no head; a null ``by`` is a document of its own; an empty table gives an empty one.
     """
     keep = least or {}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", omitted boolean, reason string"
-    return items.groupBy(by).applyInPandas(_pruner(budget, keep, per_line), schema)
-
-
-def _pruner(budget: int, keep: dict[str, int], per_line: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values(["section", "pos"], kind="stable").reset_index(drop=True)
-        cost = doc["text"].fillna("").map(lambda t: ceil(max(len(t.strip()), 1) / per_line))
-        gone = pd.Series(False, index=doc.index)
-        for section in PRIORITY:
-            own = doc.index[(doc["section"] == section)]
-            left = len(own)
-            for i in reversed(own):
-                heads = doc.loc[~gone, "section"].nunique()
-                if int(cost[~gone].sum()) + heads <= budget or left <= keep.get(section, 0):
-                    break
-                if not bool(doc.at[i, "sticky"]):
-                    gone[i] = True
-                    left -= 1
-        return doc.assign(omitted=gone, reason=[f"{s} cut to fit the budget" if g else None for s, g in zip(doc["section"], gone, strict=True)])
-
-    return run
+    lines = F.ceil(F.greatest(F.length(strip(F.coalesce("text", F.lit("")))), F.lit(1)) / per_line).cast("bigint")
+    least_of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in keep.items() for x in (k, n)]), F.col("section")), F.lit(0)) if keep else F.lit(0)
+    turn = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col("section")), F.lit(0))
+    tail = [F.col("pos").desc(), F.col("text").desc()]
+    fixed = F.coalesce("sticky", F.lit(False))
+    rows = items.select(F.struct(*items.columns).alias("_row"), F.col(by).alias("_by"), "section", "pos", "text", fixed.alias("_fixed"), lines.alias("_n"), turn.alias("_turn"), least_of.alias("_least"))
+    sizes = rows.groupBy("_by", "section").agg(F.sum("_n").alias("n"), F.count("*").alias("_count"), F.count_if("_fixed").alias("_stay"))
+    over = sizes.groupBy("_by").agg((F.sum("n") + F.count("section") - budget).alias("_over"), F.collect_list(F.struct("section", "_count", "_stay")).alias("_s"))
+    per_section = over.filter("_over > 0").select("_by", "_over", F.inline("_s"))
+    met = rows.join(per_section.select(*[F.col(c).alias(f"{c}2") for c in per_section.columns]), F.col("_by").eqNullSafe(F.col("_by2")) & F.col("section").eqNullSafe(F.col("section2")), "left")
+    place = F.row_number().over(Window.partitionBy("_by", "section", "_fixed").orderBy(*tail))
+    may = (F.col("_turn") > 0) & ~F.col("_fixed") & F.col("_over2").isNotNull() & (F.col("_place") <= F.col("_count2") - F.col("_least"))
+    freed = F.when(F.col("_may"), F.col("_n") + ((F.col("_place") == F.col("_count2")) & (F.col("_stay2") == 0)).cast("bigint")).otherwise(0)
+    before = F.coalesce(F.sum(freed).over(Window.partitionBy("_by").orderBy("_turn", "_fixed", "_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = met.withColumn("_place", place).withColumn("_may", may).withColumn("_before", before).withColumn("_out", F.col("_may") & (F.col("_over2") > F.col("_before")))
+    return out.select("_row.*", F.col("_out").alias("omitted"), F.when(F.col("_out"), F.concat("section", F.lit(" cut to fit the budget"))).alias("reason"))
 
 
 def contrast_checks(tokens: DataFrame) -> DataFrame:

@@ -48,13 +48,20 @@ def united(column: str) -> Column:
     return distinct_by_case(F.flatten(F.transform(parts, lambda x: x["v"])))
 
 
+def distinct_sources(refs: Column) -> Column:
+    """References in order, the first of each path and entry; a null path or entry is a value. Sorted by key and place, so a long list takes n log n; a null list is null."""
+    keyed = F.array_sort(F.transform(refs, lambda x, i: F.struct(x["source_path"].alias("p"), x["source_entry_index"].alias("e"), i.alias("i"))))
+    same = lambda x, y: x["p"].eqNullSafe(y["p"]) & x["e"].eqNullSafe(y["e"])
+    # The sorted list is bound once, as the element of an array of one.
+    firsts = F.get(F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | ~same(F.get(s, i - 1), x))), 0)
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: x["i"])), lambda i: F.get(refs, i))
+
+
 def merge_records(records: DataFrame) -> DataFrame:
     """One row a ``vacancy_id``. Lists follow the path of their record."""
     everything = F.struct(*[F.col(c) for c in records.columns])
     refs = F.array_sort(F.collect_list(F.struct(_path().alias("p"), F.col("provenance").alias("v"))))
-    flat = F.flatten(F.transform(refs, lambda x: x["v"]))
-    same = lambda x, y: (x["source_path"] == y["source_path"]) & (x["source_entry_index"] == y["source_entry_index"])
-    once = F.filter(flat, lambda x, i: ~F.exists(F.slice(flat, 1, i), lambda y: same(x, y)))
+    once = distinct_sources(F.flatten(F.transform(refs, lambda x: x["v"])))
     grouped = records.groupBy("vacancy_id").agg(
         F.min_by(everything, preference()).alias("best"),
         F.min_by(F.struct(*LANGUAGE), F.struct((-F.col("language_confidence")).alias("c"), _path().alias("p"))).alias("said"),

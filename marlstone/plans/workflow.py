@@ -274,6 +274,25 @@ def page_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitting.pack_first_page(items, "conv_id", "pos", "n", 6, 20)
 
 
+@query("""
+WITH RECURSIVE i AS (SELECT conv_id, turn, role, ['summary', 'experience', 'projects', 'skills', 'certifications'][turn % 5 + 1] AS section, turn % 3 = 0 AS sticky, text, CAST(ceil(greatest(length(trim(text)), 1) / 48.0::DOUBLE) AS BIGINT) AS n FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY list_position(['certifications', 'skills', 'projects', 'experience', 'summary'], section), turn DESC, text DESC) AS seq, count(*) OVER (PARTITION BY conv_id, section) AS size,
+             sum(n) OVER (PARTITION BY conv_id) AS total FROM i),
+t AS (SELECT conv_id, max(total) + count(DISTINCT section) AS used FROM o GROUP BY conv_id),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS seq, CAST(used AS BIGINT) AS used, '' AS section, CAST(0 AS BIGINT) AS remains, false AS omitted FROM t
+  UNION ALL SELECT conv_id, seq, CAST(used - CASE WHEN go THEN n + (remains = 1)::INT ELSE 0 END AS BIGINT), section, remains - go::INT, go FROM (
+    SELECT *, NOT sticky AND section <> 'summary' AND used > 12 AND remains > CASE WHEN section = 'experience' THEN 1 ELSE 0 END AS go FROM (
+      SELECT o.conv_id, o.seq, o.n, o.sticky, w.used, o.section, CASE WHEN w.section = o.section THEN w.remains ELSE o.size END AS remains FROM w JOIN o ON o.conv_id = w.conv_id AND o.seq = w.seq + 1)))
+SELECT o.conv_id, o.turn, o.section, omitted, CASE WHEN omitted THEN o.section || ' cut to fit the budget' END AS reason FROM w JOIN o USING (conv_id, seq)
+""")
+def tail_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as items of five sections, cut to twelve lines; every third turn is sticky and one of experience stays."""
+    names = F.array(*[F.lit(x) for x in ("summary", "experience", "projects", "skills", "certifications")])
+    items = table(spark, sf_dir, "conversations").select("conv_id", F.element_at(names, (F.col("turn") % 5 + 1).cast("int")).alias("section"), F.col("turn").alias("pos"), "text", (F.col("turn") % 3 == 0).alias("sticky"))
+    out = fitting.prune(items, "conv_id", 12, {"experience": 1}, 48)
+    return out.select("conv_id", F.col("pos").alias("turn"), "section", "omitted", "reason")
+
+
 @query("""
 WITH b AS (SELECT p_partkey AS brand_id, printf('#%06x', (p_partkey * 7919) % 16777216) AS c FROM part),
 l AS (SELECT brand_id, c, list_transform([2, 4, 6], lambda i: ('0x' || substr(c, i, 2))::INT / 255.0::DOUBLE) AS v FROM b),

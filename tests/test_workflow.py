@@ -145,3 +145,56 @@ def test_gate(spark):
     schema = "decision string, overall_score int, vacancy_alignment int, evidence_strength int, language_quality int, n_blocking int, factual string, language string, structure string"
     r = validators.quality_gate(rows(spark, [good, ("REVISE", 91, 90, 95, 95, 1, "FAIL", "WARN", "PASS")], schema)).collect()
     assert r[0]["passed"] and r[1]["reasons"] == ["headhunter_decision_not_pass", "overall_score_below_92", "blocking_issues_present", "factual_validation_failed", "language_validation_failed"]
+
+
+def test_prune_equals_item_by_item_removal(spark):
+    """Random documents with ties, nulls and clashing extra columns against a walk over the items."""
+    import random
+    from math import ceil
+
+    rnd = random.Random(3)
+    least = {"experience": 1, "skills": 2}
+    data = []
+    for d in (*range(60), None):
+        for _ in range(rnd.randint(1, 14)):
+            data.append((d, rnd.choice([*fitting.PRIORITY, "summary", None]), rnd.randint(0, 4), rnd.choice(["", None, " x ", "y" * 30, "z" * 55]), rnd.choice([True, False, False, None]), len(data)))
+    df = rows(spark, data, "d int, section string, pos int, text string, sticky boolean, n int").repartition(5)
+
+    def brute(doc, budget):
+        kept = list(doc)
+        cost = lambda x: ceil(max(len((x[3] or "").strip()), 1) / 20)
+        for section in fitting.PRIORITY:
+            own = sorted((x for x in doc if x[1] == section), key=lambda x: (x[2], x[3] is not None, x[3] or ""), reverse=True)
+            left = len(own)
+            for x in own:
+                if sum(map(cost, kept)) + len({y[1] for y in kept if y[1]}) <= budget or left <= least.get(section, 0):
+                    break
+                if not x[4]:
+                    kept.remove(x)
+                    left -= 1
+        return kept
+
+    for budget in (-1, 0, 5, 12, 200):
+        out = fitting.prune(df, "d", budget, least, 20).collect()
+        assert sorted(r["n"] for r in out) == list(range(len(data)))
+        shape = lambda xs: sorted(map(repr, xs))
+        want = [x[:5] for d in {x[0] for x in data} for x in brute([x for x in data if x[0] == d], budget)]
+        assert shape(want) == shape(tuple(r)[:5] for r in out if not r["omitted"])
+        assert all((r["reason"] is not None) == r["omitted"] for r in out)
+    assert fitting.prune(df.limit(0), "d", 5).collect() == [] and fitting.prune(df, "d", 10**6).filter("omitted").count() == 0
+
+
+def test_distinct_sources(spark):
+    """The first of each path and entry in order, nulls as values, against a walk; a long list of copies."""
+    import random
+
+    from marlstone.operators import merge
+
+    rnd = random.Random(5)
+    lists = [[(rnd.choice(["a", "b", None]), rnd.choice([0, 1, None]), i) for i in range(n)] for n in (0, 1, 2, 30, 5000)]
+    df = rows(spark, [(i, x) for i, x in enumerate([*lists, None])], "k int, refs array<struct<source_path:string,source_entry_index:int,n:int>>")
+    for r in df.select("k", merge.distinct_sources(F.col("refs")).alias("v")).collect():
+        seen = {}
+        for p, e, n in lists[r["k"]] if r["k"] < len(lists) else []:
+            seen.setdefault((p, e), (p, e, n))
+        assert (r["v"] is None) if r["k"] == len(lists) else [tuple(x) for x in r["v"]] == list(seen.values())
