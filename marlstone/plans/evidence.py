@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunks, sections
+from ..operators import chunks, context, sections
 from ..sources import markdown
 from .registry import registry
 from .sqlkit import table
@@ -166,3 +166,34 @@ def governance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabularies, dates, ids, sources, metrics, skill levels and links of all files."""
     r = _records(spark, sf_dir)
     return markdown.governance_issues(r, sections.relations(r))
+
+
+RULES = context.Editorial(identities=("lead engineer",), order=("beta", "alpha"), progression=("beta",), wanted_skill=("genai",), wanted_certifications={"c": ("cert",)})
+
+
+@query("""
+WITH d AS (SELECT c_custkey AS k, c_custkey % 4 AS m, c_custkey % 7 AS n FROM customer)
+SELECT CAST(k AS VARCHAR) AS doc_id, code, location FROM (
+  SELECT k, 'identity_outside_canonical_family' AS code, 'headline' AS location FROM d WHERE k % 3 <> 0 UNION ALL SELECT k, 'beta_missing', 'experience' FROM d WHERE m = 3 UNION ALL SELECT k, 'alpha_missing', 'experience' FROM d WHERE m >= 2
+  UNION ALL SELECT k, 'alpha_order', 'experience' FROM d WHERE m = 1 UNION ALL SELECT k, 'beta_progression_missing', 'experience' FROM d WHERE m < 3 AND k % 5 = 0 UNION ALL SELECT k, 'too_many_projects', 'projects' FROM d WHERE m = 3
+  UNION ALL SELECT k, 'too_many_certifications', 'certifications' FROM d WHERE n = 6 UNION ALL SELECT k, 'skills_missing', 'skills' FROM d WHERE k % 2 = 1 UNION ALL SELECT k, 'wanted_skill_missing', 'skills' FROM d WHERE k % 2 = 1
+  UNION ALL SELECT k, 'certifications_missing', 'certifications' FROM d WHERE n = 0 UNION ALL SELECT k, 'mandatory_certification_missing_c', 'certifications' FROM d WHERE n = 0
+  UNION ALL SELECT k, 'empty_employer_facing_field', 'summary' FROM d WHERE k % 10 = 0 UNION ALL SELECT k, 'diagnostic_language_exposed', 'summary' FROM d WHERE k % 10 <> 0 AND k % 9 = 0)
+""")
+def editorial_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as written documents with entries, projects, skills and certificates that keep or break the rules."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    line = lambda t: F.struct(t.alias("text"), F.array(F.lit("s1")).alias("evidence_refs"))
+    none = F.array().cast(f"array<{context.LINE}>")
+    entry = lambda org, title: F.struct(F.lit(org).alias("organization"), title.alias("title"), F.lit("2020").alias("period"), F.array(F.lit("s1")).alias("evidence_refs"), F.array(line(F.lit("did it"))).alias("bullets"))
+    beta, alpha = entry("Beta Bank", F.when(k % 5 == 0, "Clerk").otherwise("Senior Analyst")), entry("Alpha", F.lit("Analyst"))
+    entries = F.when(k % 4 == 0, F.array(beta, alpha)).when(k % 4 == 1, F.array(alpha, beta)).when(k % 4 == 2, F.array(beta)).otherwise(F.slice(F.array(beta), 1, 0))
+    project = lambda i: F.struct(F.concat(F.lit("Project "), F.lit(i)).alias("name"), F.array(F.lit("s1")).alias("evidence_refs"), none.alias("bullets"))
+    docs = c.select(
+        k.cast("string").alias("doc_id"), F.lit("en").alias("language"), F.when(k % 3 == 0, "Lead  Engineer").otherwise("Clerk").alias("target_role"), line(F.col("c_name")).alias("headline"),
+        line(F.when(k % 10 == 0, "").when(k % 9 == 0, "Evidence NOT available").otherwise(F.col("c_mktsegment"))).alias("summary"), entries.alias("experience"),
+        F.slice(F.array(*[project(i) for i in range(3)]), 1, (k % 4).cast("int")).alias("projects"), F.slice(F.array(line(F.lit("GenAI tools"))), 1, (1 - k % 2).cast("int")).alias("skills"), F.array(line(F.col("c_mktsegment"))).alias("education"),
+        F.slice(F.array(*[line(F.lit(f"Cert {i}")) for i in range(6)]), 1, (k % 7).cast("int")).alias("certifications"),
+    )
+    return context.editorial_issues(docs, RULES)

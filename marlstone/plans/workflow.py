@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import semantic_hash
 from ..functions.text import numbers, plain_number
 from ..operators import chunks, fitting, matching, queue, search, sections, telemetry, validators
 from ..sources.state import work_dir
@@ -130,6 +131,21 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.summary(_matches(spark, sf_dir)).drop("evidence_chunk_ids", "evidence_record_ids")
 
 
+@query(f"""{COVERAGE_SQL} SELECT vacancy_id, coalesce(string_agg(DISTINCT CAST(chunk_id AS VARCHAR), ',' ORDER BY CAST(chunk_id AS VARCHAR)), '') AS chunk_ids,
+coalesce(string_agg(DISTINCT record_id, ',' ORDER BY record_id), '') AS record_ids FROM (SELECT DISTINCT vacancy_id FROM reqs) LEFT JOIN e USING (vacancy_id) GROUP BY vacancy_id""")
+def match_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence that answers any requirement of a posting, each once."""
+    out = matching.summary(_matches(spark, sf_dir))
+    return out.select("vacancy_id", F.array_join("evidence_chunk_ids", ",").alias("chunk_ids"), F.array_join("evidence_record_ids", ",").alias("record_ids"))
+
+
+@query("""SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || ',"p_type":' || CASE WHEN p_size % 3 = 0 THEN 'null' ELSE '"' || p_type || '"' END || '}') AS content_hash FROM part""")
+def semantic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes of parts; a null type is written out."""
+    kind = F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", semantic_hash("p_brand", "p_name", "p_size", kind).alias("content_hash"))
+
+
 @query("""SELECT source, doc_id, pos, CAST(used AS BIGINT) AS used FROM (SELECT source, doc_id, row_number() OVER w AS pos, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM documents
 WINDOW w AS (PARTITION BY source ORDER BY n_chars, doc_id)) WHERE pos <= 40 AND used <= 70000""")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
