@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut there and survives lost executors."""
+#: Paths of the tables of the innermost ``scratch``, None outside of any; and Spark's setting that drops a query's shuffle files when it ends.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut there and survives lost executors.
+
+    Shuffle files of the query are dropped once the table is there, not only when the driver's garbage is collected."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    if not keep and (passing := _PASSING.get()) is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes within, but for those to ``keep``, are deleted at the end: nothing that is returned may read them."""
+    token = _PASSING.set([])
+    try:
+        yield
+    finally:
+        paths = _PASSING.get()
+        _PASSING.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], nulls_last: bool = False) -> DataFrame:
     """``df`` with, for each of ``sums``, the total of that expression (a whole number) over all rows before this one.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 from .components import components
 from .textscan import LOWER, Texts, U, pieces, runs, texts, words
 
@@ -141,8 +141,9 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Of several rows with the least id one stays. A group in which every id is null keeps one row; null sorts last.
     """
     keyed = with_key(docs, doc_id, text)
-    rows = written(fingerprints(keyed, "_key", text, shingle).select("doc_id.id", "doc_id.h1", "doc_id.h2", "fp"), "fingerprints")
-    return keep_least(docs, keyed, rows, lambda fps: components(links(fps, distance)))
+    with scratch(docs.sparkSession):
+        rows = written(fingerprints(keyed, "_key", text, shingle).select("doc_id.id", "doc_id.h1", "doc_id.h2", "fp"), "fingerprints")
+        return keep_least(docs, keyed, rows, lambda fps: components(links(fps, distance)))
 
 
 def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -157,10 +158,10 @@ def keep_least(docs: DataFrame, keyed: DataFrame, rows: DataFrame, rooted_by: Ca
     roots = rooted_by(fps.select("fp"))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     stay = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = written(stay.select(F.struct("first.id", "first.h1", "first.h2").alias("_stay")), "representatives")
+    stay = written(stay.select(F.struct("first.id", "first.h1", "first.h2").alias("_stay")), "representatives", keep=True)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     again = rows.groupBy(F.struct("id", "h1", "h2").alias("_again")).count().filter("count > 1").drop("count")
-    again = written(stay.join(again, F.col("_stay").eqNullSafe(F.col("_again"))).select("_again"), "repeated")
+    again = written(stay.join(again, F.col("_stay").eqNullSafe(F.col("_again"))).select("_again"), "repeated", keep=True)
     kept = keyed.join(stay, F.col("_key").eqNullSafe(F.col("_stay")), "left_semi")
     if again.isEmpty():
         return kept.select(*columns)
