@@ -11,6 +11,7 @@ score, and a query whose bound is not above its k-th score so far is left out (e
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,40 +25,47 @@ from pyspark.sql.window import Window
 from ..functions.text import tokens
 from ..sources.state import work_dir
 
-#: Queries a pass, chunks a slice, and words a slice that are multiplied as dense matrices.
-BLOCK, SLICE, DENSE = 2048, 512, 384
+#: Queries that are scored at once, and those a pass over the chunks; chunks a slice, and words a slice that are multiplied as dense matrices.
+GROUP, BLOCK, SLICE, DENSE = 2048, 16384, 512, 384
+#: From so many queries on the tokens are written once, and so many of the longest chunks are searched before the others.
+MANY, FIRST = 256, 1024
 
 
 class Best:
-    """The k best of each query so far, equal scores by least id; rows of -inf are none."""
+    """The k best of each query so far, equal scores by least id; rows of -inf are none. What is below ``floor`` is not wanted."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
         self.k, self.scores, self.ids = k, np.full((k, queries), -np.inf), None
+        self.floor = np.full(queries, -np.inf) if floor is None else floor
 
     def limit(self) -> np.ndarray:
-        return self.scores[-1]
+        return np.maximum(self.floor, self.scores[-1])
 
     def add(self, scores: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> None:
-        """Scores (chunks, columns) of the queries ``columns``; ``ids`` ascend."""
+        """Scores (chunks, columns) of the queries ``columns``."""
         if self.ids is None:
             self.ids = np.empty(self.scores.shape, ids.dtype if ids.dtype != object else object)
-        order = np.argsort(-scores, axis=0, kind="stable")[: self.k]
-        near, named = np.take_along_axis(scores, order, axis=0), ids[order]
-        both, names = np.concatenate([self.scores[:, columns], near]), np.concatenate([self.ids[:, columns], named])
-        # Ties by id: sorted by id first where an id is there, then by score, keeping that order.
-        there = np.isfinite(both)
-        if names.dtype == object:
-            names = np.where(there, names, "")
-        first = np.argsort(names, axis=0, kind="stable")
-        both, names = np.take_along_axis(both, first, axis=0), np.take_along_axis(names, first, axis=0)
-        order = np.argsort(-both, axis=0, kind="stable")[: self.k]
-        self.scores[:, columns], self.ids[:, columns] = np.take_along_axis(both, order, axis=0), np.take_along_axis(names, order, axis=0)
-
-    def rows(self, kind: pa.DataType) -> pa.RecordBatch | None:
+        least, n = self.limit()[columns], len(scores)
+        if n > self.k:
+            least = np.maximum(least, np.partition(scores, n - self.k, axis=0)[n - self.k])
+        row, col = np.nonzero((scores >= least) & np.isfinite(scores))
+        touched, query = np.unique(col, return_inverse=True)
+        held = self.scores[:, columns[touched]]
+        there, owner = np.nonzero(np.isfinite(held))
+        query = np.concatenate((owner, query))
+        score, name = np.concatenate((held[there, owner], scores[row, col])), np.concatenate((self.ids[there, columns[touched][owner]], ids[row]))
+        order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order, query, place = order[place < self.k], columns[touched][query[place < self.k]], place[place < self.k]
+        self.scores[place, query], self.ids[place, query] = score[order], name[order]
+
+    def rows(self, kind: pa.DataType, first: int = 0) -> pa.RecordBatch | None:
+        """Rows of the queries, which are numbered from ``first`` on."""
         if self.ids is None:
             return None
         place, query = np.nonzero(np.isfinite(self.scores))
-        return pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(self.ids[place, query].tolist(), kind), pa.array(self.scores[place, query])], ["q", "chunk_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(query + first, pa.int32()), pa.array(self.ids[place, query].tolist(), kind), pa.array(self.scores[place, query])], ["q", "chunk_id", "score"])
 
 
 def _sorted(batch: pa.RecordBatch, at: int, n: int) -> pa.RecordBatch:
@@ -86,33 +94,25 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
 
 
 class Terms:
-    """Words of a block of queries: for each, the queries that have it and how often."""
+    """Words of a group of queries (numbers of the pass's words): for each, the queries that have it and how often."""
 
-    def __init__(self, asked: list[list[str]]):
-        words = sorted({w for ws in asked for w in ws})
-        self.words, self.queries = words, len(asked)
-        at = {w: i for i, w in enumerate(words)}
-        flat = np.array([at[w] * len(asked) + q for q, ws in enumerate(asked) for w in ws], np.int64)
+    def __init__(self, asked: list[list[int]]):
+        self.queries = len(asked)
+        flat = np.array([w * len(asked) + q for q, ws in enumerate(asked) for w in ws], np.int64)
         key, often = np.unique(flat, return_counts=True)
-        self.of, self.query, self.often = key // max(1, len(asked)), (key % max(1, len(asked))).astype(np.int64), often.astype(np.float64)
-        self.start = np.searchsorted(self.of, np.arange(len(words) + 1))
-
-    def postings(self, lists: pa.ListArray, value_set: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(chunk, word, times) of the words of the block in lists of tokens."""
-        word = pc.fill_null(pc.index_in(lists.flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        chunk = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        key, times = np.unique((chunk * len(self.words) + word)[word >= 0], return_counts=True)
-        return key // len(self.words), key % len(self.words), times
+        self.word, self.of = np.unique(key // max(1, len(asked)), return_inverse=True)
+        self.query, self.often = key % max(1, len(asked)), often.astype(np.float64)
+        self.start = np.searchsorted(self.of, np.arange(len(self.word) + 1))
 
     def scores(self, chunk: np.ndarray, word: np.ndarray, weight: np.ndarray, chunks: int, columns: np.ndarray) -> np.ndarray:
         """Sums of weight x times over shared words, (chunks, columns)."""
         place = np.full(self.queries, -1)
         place[columns] = np.arange(len(columns))
         fan = np.diff(self.start)
-        cost = np.bincount(word, minlength=len(self.words)) * fan
+        cost = np.bincount(word, minlength=len(self.word)) * fan
         heavy = np.argsort(-cost, kind="stable")[:DENSE]
         heavy = heavy[cost[heavy] > 64]
-        rank = np.full(len(self.words), -1)
+        rank = np.full(len(self.word), -1)
         rank[heavy] = np.arange(len(heavy))
         left, right = np.zeros((chunks, len(heavy))), np.zeros((len(heavy), len(columns)))
         much = rank[word] >= 0
@@ -133,46 +133,69 @@ class Terms:
             out += np.bincount(cell, (np.repeat(weight[a:b], each) * self.often[entry])[fine], chunks * len(columns)).reshape(out.shape)
         return out
 
-    def bounds(self, word: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What a chunk with the greatest weight of every word would score, a query."""
-        top = np.zeros(len(self.words))
-        np.maximum.at(top, word, weight)
-        return np.bincount(self.query, top[self.of] * self.often, self.queries)
+    def bounds(self, top: np.ndarray) -> np.ndarray:
+        """What a chunk with the greatest weight ``top`` of every word of the pass would score, a query."""
+        return np.bincount(self.query, top[self.word][self.of] * self.often, self.queries)
+
 
+class Pass:
+    """Queries of a pass over the chunks, in groups that are scored at once, and their words."""
+
+    def __init__(self, asked: list[list[str]]):
+        self.words = sorted({w for ws in asked for w in ws})
+        at = {w: i for i, w in enumerate(self.words)}
+        self.queries = len(asked)
+        self.groups = [Terms([[at[w] for w in ws] for ws in asked[i : i + GROUP]]) for i in range(0, len(asked), GROUP)]
 
-def _counting(terms: Terms):
+    def postings(self, lists: pa.ListArray, value_set: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(chunk, word, times) of the words of the pass in lists of tokens."""
+        word = pc.fill_null(pc.index_in(lists.flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        chunk = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        key, times = np.unique((chunk * len(self.words) + word)[word >= 0], return_counts=True)
+        return key // len(self.words), key % len(self.words), times
+
+
+def _counting(asked: Pass):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, total = pa.array(terms.words, pa.string()), np.zeros(len(terms.words), np.int64)
+        values, total = pa.array(asked.words, pa.string()), np.zeros(len(asked.words), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                total += np.bincount(terms.postings(batch.column(1).slice(at, SLICE), values)[1], minlength=len(total))
+                total += np.bincount(asked.postings(batch.column(1).slice(at, SLICE), values)[1], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["t", "df"])
 
     return run
 
 
-def _searching(terms: Terms, idf: np.ndarray | None, k: int, digits: int | None):
-    """Raw scores where there is no idf."""
+def _searching(asked: Pass, idf: np.ndarray | None, k: int, digits: int | None, floor: np.ndarray | None = None):
+    """Raw scores where there is no idf; ``floor``: a score of each query that k chunks are known to reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, best, kind = pa.array(terms.words, pa.string()), Best(terms.queries, k), None
+        values, kind = pa.array(asked.words, pa.string()), None
+        best = [Best(g.queries, k, None if floor is None else floor[i * GROUP :][: g.queries]) for i, g in enumerate(asked.groups)]
         for batch in batches:
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, SLICE):
                 part = _sorted(batch, at, SLICE)
-                chunk, word, times = terms.postings(part.column(1), values)
+                chunk, word, times = asked.postings(part.column(1), values)
                 if not len(word):
                     continue
-                weight = times + 1.0 if idf is None else (1.0 + np.log(times)) * idf[word]
-                able = terms.bounds(word, weight)
-                columns = np.flatnonzero((able > 0) & (able + 1e-5 >= best.limit()))
-                if len(columns):
-                    scores = terms.scores(chunk, word, weight, part.num_rows, columns)
-                    scores = scores if digits is None else np.round(scores, digits)
-                    best.add(np.where(scores > 0, scores, -np.inf), part.column(0).to_numpy(zero_copy_only=False), columns)
-        if (rows := best.rows(kind)) is not None:
-            yield rows
+                weight, ids = times + 1.0 if idf is None else (1.0 + np.log(times)) * idf[word], part.column(0).to_numpy(zero_copy_only=False)
+                top, place = np.zeros(len(asked.words)), np.full(len(asked.words), -1)
+                np.maximum.at(top, word, weight)
+                for terms, found in zip(asked.groups, best, strict=True):
+                    able = terms.bounds(top)
+                    columns = np.flatnonzero((able > 0) & (able + 1e-5 >= found.limit()))
+                    if len(columns):
+                        place[terms.word] = np.arange(len(terms.word))
+                        own = place[word] >= 0
+                        scores = terms.scores(chunk[own], place[word[own]], weight[own], part.num_rows, columns)
+                        scores = scores if digits is None else np.round(scores, digits)
+                        found.add(np.where(scores > 0, scores, -np.inf), ids, columns)
+                        place[terms.word] = -1
+        for i, found in enumerate(best):
+            if (rows := found.rows(kind, i * GROUP)) is not None:
+                yield rows
 
     return run
 
@@ -180,29 +203,44 @@ def _searching(terms: Terms, idf: np.ndarray | None, k: int, digits: int | None)
 def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int, weighted: bool = True, digits: int | None = 6, block: int = BLOCK, chunk_id: str = "chunk_id", text: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the same as ``top_k`` of ``tfidf_scores`` (rounded) or, not weighted, of ``raw_scores``.
 
-    With weights there is a pass before, for the document frequencies of the block's words; the tokens are written once and both passes read
-    them, as folding and cutting text is the dearest part."""
+    With weights there is a pass before, for the document frequencies of the block's words; where two passes need them or queries are many, the tokens are
+    written once, as folding and cutting text is the dearest part. Of many queries the longest chunks are searched first: the k-th score that a query has there
+    is a bound below which it wants nothing, and chunks, longest first in each file, soon cannot reach it."""
+    spark = chunks.sparkSession
     said = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("w"))
     asked = queries.select(F.col(query_id).alias("query_id"), tokens(F.col(query_text)).alias("w"))
     kinds = {f.name: f.dataType.simpleString() for f in (*said.schema, *asked.schema)}
-    total = 0
-    if weighted:
-        path = f"{work_dir(chunks.sparkSession)}/tokens-{uuid.uuid4().hex}"
-        said.write.parquet(path)
-        said = chunks.sparkSession.read.schema(said.schema).parquet(path)
-        total = max(said.count(), 1)
-    passes = []
-    for rows in _blocks(asked, block):
-        terms = Terms([r["w"] for r in rows])
-        idf = None
+    blocks, many, total, least = _blocks(asked, block), False, 0, None
+    if (first := next(blocks, None)) is not None:
+        many = len(first) > MANY
+        if weighted or many:
+            said = said.withColumn("n", F.coalesce(F.size("w"), F.lit(0)))
+            path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
+            (said.sortWithinPartitions(F.desc("n")) if many else said).write.parquet(path)
+            said = spark.read.schema(said.schema).parquet(path)
+            total = max(said.count(), 1) if weighted else 0
+            least = said.select("n").orderBy(F.desc("n")).limit(FIRST).agg(F.min("n")).first()[0] if many else None
+    words, out, passes = said.select("chunk_id", "w"), f"q int, chunk_id {kinds['chunk_id']}, score double", []
+    for rows in [] if first is None else itertools.chain([first], blocks):
+        terms, idf = Pass([r["w"] or [] for r in rows]), None
         if weighted:
             df = np.zeros(len(terms.words))
-            for r in said.mapInArrow(_counting(terms), "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).collect():
+            for r in words.mapInArrow(_counting(terms), "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).collect():
                 df[r["t"]] = r["df"]
             idf = np.log((total + 1) / (df + 1)) + 1.0
-        found = said.mapInArrow(_searching(terms, idf, k, digits if weighted else None), f"q int, chunk_id {kinds['chunk_id']}, score double")
+        rounded = digits if weighted else None
+        if least is None:
+            found = words.mapInArrow(_searching(terms, idf, k, rounded), out)
+        else:
+            path = f"{work_dir(spark)}/longest-{uuid.uuid4().hex}"
+            said.filter(F.col("n") >= least).select("chunk_id", "w").repartition(8).mapInArrow(_searching(terms, idf, k, rounded), out).write.parquet(path)
+            long, floor = spark.read.schema(out).parquet(path), np.full(terms.queries, -np.inf)
+            order = Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")
+            for r in long.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("q", "score").collect():
+                floor[r["q"]] = r["score"]
+            found = long.union(said.filter(F.col("n") < least).select("chunk_id", "w").mapInArrow(_searching(terms, idf, k, rounded, floor), out))
         passes.append((found, [r["query_id"] for r in rows]))
-    return _merged(passes, kinds["query_id"], k) if passes else chunks.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, rank int")
+    return _merged(passes, kinds["query_id"], k) if passes else spark.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, rank int")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -237,7 +275,7 @@ def _nearing(vectors: list[list[float]], k: int, digits: int | None) -> Callable
     return run
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = 6, block: int = BLOCK, chunk_id: str = "chunk_id", vector: str = "vector") -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = 6, block: int = GROUP, chunk_id: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the same as ``top_k`` of ``cosine_scores``; a null vector is empty, null entries are zero."""
     filled = lambda c: F.transform(F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
     held = vectors.select(F.col(chunk_id).alias("chunk_id"), filled(vector).alias("v"))

@@ -30,6 +30,21 @@ def test_lexical_top_k(spark, kind, weighted, monkeypatch):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("weighted", [True, False])
+def test_many_queries_read_tokens_written_once(spark, kind, weighted, monkeypatch):
+    for name, n in (("SLICE", 16), ("DENSE", 3), ("MANY", 2), ("FIRST", 20), ("GROUP", 3)):
+        monkeypatch.setattr(search, name, n, raising=False)
+    rows = list(enumerate(texts(1, 150))) + [(500 + i, "common w1 w2") for i in range(40)] + [(600, "w3 " * 50), (601, "common " * 90), (900, None), (901, "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").withColumn("chunk_id", F.col("chunk_id").cast(kind)).repartition(3)
+    queries = spark.createDataFrame([*enumerate(texts(2, 20)), (70, "nowhere else"), (71, None), (72, "common"), (73, "w1 w1 W2")], "query_id int, text string")
+    plain = lexical.tfidf_scores(chunks, queries) if weighted else lexical.raw_scores(chunks, queries)
+    want = lexical.top_k(plain, 5).select("query_id", "chunk_id", "score", "rank")
+    got = search.lexical_top_k(chunks, queries, 5, weighted, block=12)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {p.rsplit("/", 2)[1].split("-")[0] for p in got.inputFiles()} == {"tokens", "longest"}
+
+
 def test_dense_top_k(spark, monkeypatch):
     monkeypatch.setattr(search, "SLICE", 16)
     draw = random.Random(4)
