@@ -50,11 +50,15 @@ def united(column: str) -> Column:
 
 def distinct_sources(refs: Column) -> Column:
     """References in order, the first of each path and entry; a null path or entry is a value. Sorted by key and place, so a long list takes n log n; a null list is null."""
-    keyed = F.array_sort(F.transform(refs, lambda x, i: F.struct(x["source_path"].alias("p"), x["source_entry_index"].alias("e"), i.alias("i"))))
     same = lambda x, y: x["p"].eqNullSafe(y["p"]) & x["e"].eqNullSafe(y["e"])
-    # The sorted list is bound once, as the element of an array of one.
-    firsts = F.get(F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | ~same(F.get(s, i - 1), x))), 0)
-    return F.transform(F.array_sort(F.transform(firsts, lambda x: x["i"])), lambda i: F.get(refs, i))
+
+    def kept(all_: Column) -> Column:
+        keyed = F.array_sort(F.transform(all_, lambda x, i: F.struct(x["source_path"].alias("p"), x["source_entry_index"].alias("e"), i.alias("i"))))
+        firsts = F.get(F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | ~same(F.get(s, i - 1), x))), 0)
+        return F.transform(F.array_sort(F.transform(firsts, lambda x: x["i"])), lambda i: F.get(all_, i))
+
+    # The list and the sorted one are bound once, as the element of an array of one: within a lambda they would be made again for each element.
+    return F.get(F.transform(F.array(refs), kept), 0)
 
 
 def merge_records(records: DataFrame) -> DataFrame:

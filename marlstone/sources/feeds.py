@@ -47,9 +47,14 @@ def _is_list(v: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant")).startswith("ARRAY"), F.lit(False))
 
 
+def _once(c: Column) -> Column:
+    """A value worked out once a row, as the element of an array of one: a filter on it is else put in its place, and works it out again wherever it is named."""
+    return F.explode(F.array(c))
+
+
 def envelope(files: DataFrame) -> DataFrame:
     """Adds ``doc`` (VARIANT, null if the text is no JSON) and ``source_format`` (a shape or ``unknown``)."""
-    parsed = files.withColumn("doc", F.try_parse_json("text"))
+    parsed = files.select("*", _once(F.try_parse_json("text")).alias("doc"))
     kind = F.lit("unknown")
     for name, s in reversed(SHAPES.items()):
         kind = F.when(_is_list(F.col("doc"), s["list"]), name).otherwise(kind)
@@ -103,7 +108,7 @@ def check(files: DataFrame) -> DataFrame:
         count = F.when(declared != F.size(items), F.concat(F.lit(s["count"] + "="), declared.cast("string"), F.lit(f" does not match {s['list']} length="), F.size(items).cast("string")))
         errors = F.flatten(F.transform(items, _errors_of(name)))
         out = F.when(F.col("source_format") == name, F.concat(F.array_compact(F.array(count)), errors)).otherwise(out)
-    return files.withColumn("errors", out)
+    return files.select("*", _once(out).alias("errors"))
 
 
 def quarantine(checked: DataFrame) -> DataFrame:
@@ -128,18 +133,20 @@ def _adapted(files: DataFrame, name: str, commit: str | None) -> DataFrame:
     many = lambda path: clean_list(F.try_variant_get(item, f"$.{path}", "array<string>"))
     head = lambda key: _text(doc, s[key]) if s[key] else F.lit(None).cast("string")
     spoken = F.coalesce(*[F.when(_kind(item, p).isNotNull(), F.coalesce(_text(item, p), F.lit(""))) for p in s["language"]])
-    r = entries.select(
+    # Fields, then what is told from them, are each worked out once: put together they are one expression too large to be compiled.
+    r = entries.select(_once(F.struct(
         "source_path", "source_hash", "source_format", "idx", F.coalesce(text("company"), F.lit("")).alias("company"), F.coalesce(text("role_title"), F.lit("")).alias("role_title"),
         text("seniority").alias("seniority"), text("category").alias("company_category"), (text("location") if s["location"] else text("city")).alias("location_raw"), text("city").alias("city"),
         work_model(text("work_model")).alias("work_model"), posted_date(text("posted")).alias("p"), canonical_url(text("url")).alias("url"), text("salary").alias("salary"), many(s["stack"]).alias("tech_stack"),
         many("requirements").alias("requirements"), many("responsibilities").alias("responsibilities"), _text(item, "description").alias("description"), spoken.alias("spoken"),
         F.try_variant_get(item, f"$.{s['score']}", "double").alias("fit_score"), text("summary").alias("fit_summary"), many(s["strengths"]).alias("fit_strengths"), many(s["gaps"]).alias("fit_gaps"),
         text("native").alias("native"), head("updated").alias("updated"), head("searched").alias("searched"),
-    )
+    )).alias("r")).select("r.*")
     c = F.col
     body = F.concat_ws(" ", "description", "requirements", "responsibilities")
-    r = r.withColumn("lang", infer_language(c("role_title"), body, c("spoken"))).withColumn("id", stable_identity(c("company"), c("role_title"), c("location_raw"), c("url")))
-    r = r.withColumn("jd", assess(c("description"), c("requirements"), c("responsibilities")))
+    told = (infer_language(c("role_title"), body, c("spoken")).alias("lang"), stable_identity(c("company"), c("role_title"), c("location_raw"), c("url")).alias("id"), assess(c("description"), c("requirements"), c("responsibilities")).alias("jd"))
+    for t, name in zip(told, ("lang", "id", "jd"), strict=True):
+        r = r.select("*", _once(t).alias(name))
     provenance = F.struct(
         "source_path", "source_hash", "source_format", c("idx").alias("source_entry_index"), c("native").alias("source_native_id"), F.lit(commit).cast("string").alias("source_commit"),
         c("updated").alias("source_updated_at"), c("searched").alias("source_search_date"),
