@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.hashing import semantic_hash
 from ..functions.text import fields, plain_number, slug, strip, truthy
@@ -59,9 +60,9 @@ def record_chunks(records: DataFrame, sections: DataFrame, approved: tuple[str,
     skill records give one for each entry; elsewhere every section with content gives one, which carries the
     record's boundary texts as constraints.
     """
-    bounds = F.transform(F.array_sort(F.collect_list(F.when((F.col("semantic_type") == "boundary") & (strip(F.col("content")) != ""), F.struct("pos", strip(F.col("content")).alias("t"))))), lambda x: x["t"])
-    of_record = sections.groupBy("record_id").agg(bounds.alias("bounds"))
-    s = sections.join(of_record, "record_id").join(records, "record_id").filter("retrieval_class <> 'router'").withColumn("f", fields(F.col("content")))
+    bounds = F.transform(F.array_sort(F.collect_list(F.when((F.col("semantic_type") == "boundary") & (strip(F.col("content")) != ""), F.struct("pos", strip(F.col("content")).alias("t")))).over(Window.partitionBy("record_id"))), lambda x: x["t"])
+    # Sections come dealt by record, so this window exchanges nothing, and they are made once.
+    s = sections.withColumn("bounds", bounds).join(records.drop("body"), "record_id").filter("retrieval_class <> 'router'").withColumn("f", fields(F.col("content")))
     get = lambda k: F.try_element_at("f", F.lit(k))
     low = lambda k: F.lower(F.coalesce(get(k), F.lit("")))
     metric, skill = F.col("record_id") == METRIC_RECORD, F.col("record_id") == SKILL_RECORD

@@ -64,7 +64,8 @@ def parse_front_matter(text: str) -> dict[str, Any]:
     except ImportError:
         data: Any = _subset(text)
     else:
-        data = yaml.safe_load(text) or {}
+        # The same safe values, read by libyaml where PyYAML was built with it.
+        data = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}
     if not isinstance(data, dict):
         raise ValueError("front matter must be a mapping")
     return plain(data)
