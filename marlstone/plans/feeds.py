@@ -26,7 +26,9 @@ def _quoted(c: Column) -> Column:
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source_path, source_hash, text, c_custkey)``: odd keys give the second shape; some files have errors."""
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # Rows are few bytes and become long texts: a table of one small file would be one task's work.
+    dealt = table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    c = dealt.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey")
     role = F.when(k % 29 == 0, "").otherwise(F.col("c_mktsegment"))
     stack = F.when(k % 23 == 0, _quoted(F.lit("one"))).otherwise(F.concat(F.lit('["SQL", "sql", "'), F.col("c_mktsegment"), F.lit('"]')))

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from marlstone.operators import merge
+from marlstone.plans import feeds as plans
 from marlstone.sources import feeds
 
 
@@ -26,3 +27,7 @@ def test_a_feed_is_parsed_once_a_shape(spark):
     adapted = feeds.adapt(feeds.check(feeds.envelope(files)))
     assert [(r["company"], r["tech_stack"]) for r in adapted.collect()] == [("A", ["x"])]
     assert len(re.findall("parse_?json", plan(adapted), re.I)) == 2
+
+
+def test_files_of_one_small_table_are_many_tasks(spark):
+    assert plans._files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
